@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wavefield.llm import quality_rules
+from wavefield.llm import packing, quality_rules, token_files
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, token_files, packing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wavefield.llm import chat_format, maxscore, packing, quality_rules, token_files
+from wavefield.llm import chat_format, language_id, maxscore, packing, quality_rules, token_files
 
-_MODULES = (quality_rules, token_files, packing, chat_format, maxscore)
+_MODULES = (quality_rules, token_files, packing, chat_format, maxscore, language_id)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

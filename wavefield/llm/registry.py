@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wavefield.llm import chat_format, language_id, maxscore, mixing, ngram_join, packing, quality_crf, quality_rules, token_files
+from wavefield.llm import chat_format, language_id, line_dedup, maxscore, mixing, ngram_join, packing, quality_crf, quality_rules, token_files
 
-_MODULES = (quality_rules, token_files, packing, chat_format, maxscore, language_id, quality_crf, mixing, ngram_join)
+_MODULES = (quality_rules, token_files, packing, chat_format, maxscore, language_id, quality_crf, mixing, ngram_join, line_dedup)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

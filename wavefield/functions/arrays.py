@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -19,3 +21,8 @@ def lists(values: np.ndarray) -> pa.Array:
     values = np.ascontiguousarray(values, dtype=float)
     offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
+def own_columns(df: DataFrame) -> DataFrame:
+    """df with attributes of its own, for a cogroup with a frame of the same origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -45,40 +45,63 @@ def phase_velocity(points: DataFrame) -> DataFrame:
     return points.withColumns({"cx": along("kx"), "cy": along("ky")})
 
 
+def _with_representative(points: DataFrame, kind: str) -> DataFrame:
+    """points with rx_ and ry_ of their layer's representative. A layer's points are few, and all steps on
+    a cell share one distribution by CELL, so windows cost no further shuffle."""
+    layer = Window.partitionBy(*LAYER)
+    if kind == "same":
+        each = {f"r{c[1]}_": F.median(c).over(layer) for c in ("kx", "ky")}
+    elif kind == "diff":
+        each = {f"r{c[1]}_": F.sum(F.col(c) * F.col("w")).over(layer) / F.sum("w").over(layer) for c in ("kx", "ky")}
+    elif kind == "best":
+        best = F.max(F.struct("w", "kx", "ky")).over(layer)
+        each = {f"r{c[1]}_": best[c] for c in ("kx", "ky")}
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    return points.withColumns(each)
+
+
 def gamma_filter(points: DataFrame, low: float, high: float, kind: str = "diff") -> DataFrame:
-    """Without the layers whose representative has omega^2 / (g k) outside [low, high]."""
-    gamma = F.col("omega") * F.col("omega") / (GRAVITY * norm())
-    good = layer_representative(points, kind).where(norm() > 0).where(gamma.between(low, high)).select(*LAYER)
-    return points.join(good, LAYER, "left_semi")
+    """Without the layers whose representative has omega^2 / (g k) outside [low, high], or no k."""
+    k = norm("rx_", "ry_")
+    gamma = F.col("omega") * F.col("omega") / (GRAVITY * k)
+    return _with_representative(points, kind).where((k > 0) & gamma.between(low, high)).drop("rx_", "ry_")
+
+
+_MOMENTS = [("kx", "kx"), ("kx", "ky"), ("kx", "omega"), ("ky", "ky"), ("ky", "omega"), ("omega", "omega")]
+
 
+def _axes(m: np.ndarray) -> np.ndarray:
+    """Principal axis of each row of moments (in the order of _MOMENTS)."""
+    return np.linalg.eigh(m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))[1][:, :, 2]
 
-def principal_axes(points: DataFrame) -> DataFrame:
-    """Unit vector (ax, ay, az) of the largest uncentred spread of each cell's (kx, ky, omega)."""
-    names = ("kx", "ky", "omega")
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    moments = points.groupBy(*CELL).agg(*[F.sum(F.col(a) * F.col(b)).alias(f"m{i}") for i, (a, b) in enumerate(pairs)])
-    kinds = dict(points.dtypes)
+
+def direction_filter(points: DataFrame, reflect: bool = False, layers: int = 0) -> DataFrame:
+    """In cells of at least so many layers, without the points whose projection on the cell's principal
+    axis (largest uncentred spread of kx, ky, omega) is below their omega; or, to reflect, with (kx, ky) of
+    those turned round."""
+    cell = Window.partitionBy(*CELL)
+    moments = F.array(*[F.sum(F.col(a) * F.col(b)).over(cell) for a, b in _MOMENTS])
+    with_m = points.withColumn("m_", moments).withColumn("n_", F.size(F.collect_set("omega").over(cell)))
+    kept = [f"{n} {t}" for n, t in points.dtypes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = np.stack([batch.column(f"m{i}").to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
-            axes = np.linalg.eigh(m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))[1][:, :, 2]
-            yield pa.record_batch([*[batch.column(c) for c in CELL], *[pa.array(axes[:, i]) for i in range(3)]], [*CELL, "ax", "ay", "az"])
-
-    return moments.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in CELL], "ax double, ay double, az double"]))
-
+            m = batch.column("m_").flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)
+            distinct, which = np.unique(m, axis=0, return_inverse=True)
+            axes = _axes(distinct)[which.ravel()]
+            p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("kx", "ky", "omega")], axis=1)
+            off = (np.abs((p * axes).sum(axis=1)) < p[:, 2]) & (batch.column("n_").to_numpy() >= layers)
+            names = [n for n in batch.schema.names if n not in ("m_", "n_")]
+            if reflect:
+                turned = {c: pa.array(np.where(off, -p[:, i], p[:, i])) for i, c in enumerate(("kx", "ky"))}
+                yield pa.record_batch([turned.get(n, batch.column(n)) for n in names], names)
+            else:
+                yield batch.select(names).filter(pa.array(~off))
 
-def direction_filter(points: DataFrame, reflect: bool = False) -> DataFrame:
-    """Without points whose projection on their cell's principal axis is below their omega; or, to
-    reflect, with (kx, ky) of those turned round."""
-    joined = points.join(principal_axes(points), CELL)
-    along = F.abs(F.col("kx") * F.col("ax") + F.col("ky") * F.col("ay") + F.col("omega") * F.col("az"))
-    if not reflect:
-        return joined.where(along >= F.col("omega")).drop("ax", "ay", "az")
-    turned = {c: F.when(along < F.col("omega"), -F.col(c)).otherwise(F.col(c)) for c in ("kx", "ky")}
-    return joined.withColumns(turned).drop("ax", "ay", "az")
+    return with_m.mapInArrow(run, ", ".join(kept))
 
 
 def count_layers(points: DataFrame) -> DataFrame:
@@ -87,21 +110,16 @@ def count_layers(points: DataFrame) -> DataFrame:
 
 def layer_gate(points: DataFrame, layers: int = 3) -> DataFrame:
     """Points of cells with at least so many layers."""
-    return points.join(count_layers(points).where(F.col("n_layers") >= layers).select(*CELL), CELL, "left_semi")
-
-
-def _where_layers(points: DataFrame, layers: int, step, **options) -> DataFrame:
-    """step applied to the cells of at least so many layers, the other cells as they are."""
-    enough = count_layers(points).where(F.col("n_layers") >= layers).select(*CELL)
-    return step(points.join(enough, CELL, "left_semi"), **options).unionByName(points.join(enough, CELL, "left_anti"))
+    n = F.size(F.collect_set("omega").over(Window.partitionBy(*CELL)))
+    return points.withColumn("n_", n).where(F.col("n_") >= layers).drop("n_")
 
 
 def filter_cloud(points: DataFrame, kind: str = "diff", limits: tuple[float, float] = (0.3, 1.0), reflect: bool = False) -> DataFrame:
     """Directions (cells of more than 4 layers), a wide Gamma filter, directions (3 layers or more), the
-    Gamma limits, points without k; what is left comes as points."""
-    step = _where_layers(points, 5, direction_filter, reflect=reflect)
-    step = gamma_filter(step, 0.0, 1.5, kind)
-    step = _where_layers(step, 3, direction_filter, reflect=reflect)
+    Gamma limits, points without k; what is left comes as points. Cells are dealt out once; a map into
+    Python hides that from the planner, so each part after one deals out again."""
+    step = direction_filter(points, reflect, 5)
+    step = direction_filter(gamma_filter(step, 0.0, 1.5, kind), reflect, 3)
     return gamma_filter(step, *limits, kind).where(norm() > 0)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefield.functions.arrays import matrix
+from wavefield.functions.arrays import matrix, own_columns
 from wavefield.functions.modefit import first_alphas, fit_exponentials, marchenko_pastur_median, rank_threshold
 
 WINDOW = ["video_id", "window_id"]
@@ -243,7 +243,6 @@ def draw_modes(series: DataFrame, modes: DataFrame) -> DataFrame:
     x = x.select(F.col("video_id").cast("string").alias("video_id"), F.col("window_id").cast("long").alias("window_id"), F.floor(F.col("pixel") / PIXELS).alias("chunk"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *names)
     chunks = x.select(*WINDOW, "chunk").distinct()
     vectors = modes.where(F.col("status") == "ok").select(*WINDOW, "mode", F.col("m_re"), F.col("m_im")).join(chunks, WINDOW)
-    vectors = vectors.select(*[F.col(c).alias(c) for c in vectors.columns])  # attributes of their own
     key = [*WINDOW, "chunk"]
 
     def run(pixels: pa.Table, drawn: pa.Table) -> pa.Table:
@@ -257,7 +256,7 @@ def draw_modes(series: DataFrame, modes: DataFrame) -> DataFrame:
             [pa.array([pixels["video_id"][0].as_py()] * (n * k)), pa.array(np.full(n * k, pixels["window_id"][0].as_py())), pa.array(np.tile(drawn["mode"].to_numpy(), n), pa.int32()),
              repeat("row"), repeat("col"), pa.array(phi.ravel().real), pa.array(phi.ravel().imag)], [y.split()[0] for y in PIXEL_MODES.split(", ")])
 
-    return x.groupBy(*key).cogroup(vectors.groupBy(*key)).applyInArrow(run, PIXEL_MODES)
+    return x.groupBy(*key).cogroup(own_columns(vectors).groupBy(*key)).applyInArrow(run, PIXEL_MODES)
 
 
 def singular_values(basis: DataFrame) -> DataFrame:

@@ -125,21 +125,22 @@ def _prefixes(order):
         counts = order.value
         for batch in batches:
             for first, part in blocks(batch.column("text").to_pylist()):
-                n, cid, prefix = [], [], []
+                n, cid, prefix, segments = [], [], [], []
                 for s in _sets(part):
                     n.append(len(s))
+                    segments.append(np.bincount((s >> np.uint64(8)).astype(np.int64) % SEGMENTS, minlength=SEGMENTS).astype(np.uint32).tobytes())
                     cid.append(_digest(s))
                     keep = np.lexsort((s, counts[bucket(s)]))[: prefix_size(len(s))] if len(s) else []
                     prefix.append(s[keep].view(np.int64))
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(first, len(part)), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "cid", "prefix"],
+                    [batch.column("doc_id").slice(first, len(part)), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.binary())],
+                    ["doc_id", "n", "cid", "prefix", "segments"],
                 )
 
     return run
 
 
-PAYLOAD = "cid binary, n long, w long, hot int, shared array<long>, df array<long>, grams binary, segments binary"
+PAYLOAD = "no long, n long, w long, shared array<long>, df array<long>, grams binary"
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +148,13 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cids = batch.column("cid").to_pylist()
         for first, run in blocks(batch.column("text").to_pylist()):
-            keep, grams, segments = [], [], []
+            keep, grams = [], []
             for i, s in enumerate(_sets(run)):
                 if _digest(s) == cids[first + i]:
                     keep.append(first + i)
                     grams.append(s.tobytes())
-                    segments.append(np.bincount((s >> np.uint64(8)).astype(np.int64) % SEGMENTS, minlength=SEGMENTS).astype(np.uint32).tobytes())
             part = batch.take(pa.array(keep, pa.int32()))
-            yield pa.record_batch(
-                [part.column(c) for c in ("cid", "n", "w", "hot", "shared", "df")] + [pa.array(grams, pa.binary()), pa.array(segments, pa.binary())],
-                [x.split()[0] for x in PAYLOAD.split(", ")],
-            )
+            yield pa.record_batch([*[part.column(c) for c in ("no", "n", "w", "shared", "df")], pa.array(grams, pa.binary())], [x.split()[0] for x in PAYLOAD.split(", ")])
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +199,9 @@ def overlaps(sets: list[np.ndarray], columns: int = 4_096) -> np.ndarray:
 def _cell(key: tuple, group: pa.Table, small: int) -> pa.Table:
     """Links within one pair of blocks of a long list: per class its links' weight, and one link."""
     token = np.int64(key[0].as_py())
-    rows = {c: i for i, c in enumerate(group["cid"].to_pylist())}  # a class once
+    rows = {c: i for i, c in enumerate(group["no"].to_pylist())}  # a class once
     keep = sorted(rows.values())
-    cid = [group["cid"][i].as_py() for i in keep]
+    no = group["no"].to_numpy()[keep]
     n, w = group["n"].to_numpy()[keep], group["w"].to_numpy()[keep]
     block = group["block"].to_numpy()[keep]
     sets = [np.frombuffer(group["grams"][i].as_py(), np.uint64) for i in keep]
@@ -217,15 +214,15 @@ def _cell(key: tuple, group: pa.Table, small: int) -> pa.Table:
     np.fill_diagonal(link, False)
     if key[1] != key[2]:
         link &= block[:, None] != block[None, :]
-    root = np.arange(len(cid))
+    root = np.arange(len(no))
     while True:  # every row takes the smallest root among its links
-        new = np.minimum(root, np.where(link, root[None, :], len(cid)).min(axis=1, initial=len(cid)))
+        new = np.minimum(root, np.where(link, root[None, :], len(no)).min(axis=1, initial=len(no)))
         new = new[new]
         if (new == root).all():
             break
         root = new
     some = np.flatnonzero(link.any(axis=1))
-    return pa.table([pa.array([cid[i] for i in some], pa.binary()), pa.array([cid[root[i]] for i in some], pa.binary()), pa.array((link @ w)[some].astype(np.int64))], ["x", "y", "weight"])
+    return pa.table([pa.array(no[some]), pa.array(no[root[some]]), pa.array((link @ w)[some].astype(np.int64))], ["x", "y", "weight"])
 
 
 def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
@@ -233,48 +230,57 @@ def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> D
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(count_buckets(docs))
-    each = stored(docs.mapInArrow(_prefixes(order), "doc_id long, n long, cid binary, prefix array<long>"), "prefixes")
-    classes = stored(each.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("prefix").alias("prefix")), "classes")
+    each = stored(docs.mapInArrow(_prefixes(order), "doc_id long, n long, cid binary, prefix array<long>, segments binary"), "prefixes")
+    classes = each.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments"))
+    # a number for each class, written down with it: short in every table below
+    classes = stored(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
 
-    entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = classes.select("no", F.posexplode("prefix").alias("pos", "token"))
     long_enough = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     lists = stored(entries.join(long_enough, "token"), "lists")
-    shared = lists.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "df"))).alias("s"))
-    shared = shared.select("cid", F.col("s.token").alias("shared"), F.col("s.df").alias("df"), F.size(F.filter("s", lambda x: x["df"] > small)).alias("hot"))
-    chosen = classes.select("cid", "n", "w", "rep").join(shared, "cid")
-    with_text = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["rep"])).select("cid", "n", "w", "hot", "shared", "df", "text")
-    payload = stored(with_text.mapInArrow(_payload, PAYLOAD), "sets")
+    shared = lists.groupBy("no").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "df"))).alias("s"))
+    shared = shared.select("no", F.col("s.token").alias("shared"), F.col("s.df").alias("df"), F.size(F.filter("s", lambda x: x["df"] > small)).alias("hot"))
+    shared = stored(classes.select("no", "n").join(shared, "no"), "shared")
 
     # short lists: pairs
-    entry = lists.where(F.col("df") <= small).join(shared.select("cid", "hot"), "cid")
-    x = entry.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "pos", "hot")])
-    y = entry.select("token", *[F.col(c).alias(f"{c}_y") for c in ("cid", "n", "pos", "hot")])
+    entry = lists.where(F.col("df") <= small).join(shared.select("no", "n", "hot"), "no")
+    x = entry.select("token", *[F.col(c).alias(f"{c}_x") for c in ("no", "n", "pos", "hot")])
+    y = entry.select("token", *[F.col(c).alias(f"{c}_y") for c in ("no", "n", "pos", "hot")])
     lengths = LINK[1] * F.least("n_x", "n_y") >= LINK[0] * F.greatest("n_x", "n_y")
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("cid_x") < F.col("cid_y")) & lengths)
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("no_x") < F.col("no_y")) & lengths)
     # the first of the short-list shingles in common: long-list ones may come before it
-    pairs = pairs.groupBy(F.col("cid_x").alias("x"), F.col("cid_y").alias("y"), "n_x", "n_y", "hot_x", "hot_y").agg(F.min("pos_x").alias("pos_x"), F.min("pos_y").alias("pos_y"))
+    pairs = pairs.groupBy(F.col("no_x").alias("x"), F.col("no_y").alias("y"), "n_x", "n_y", "hot_x", "hot_y").agg(F.min("pos_x").alias("pos_x"), F.min("pos_y").alias("pos_y"))
     most = F.least("hot_x", "hot_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     pairs = pairs.where((LINK[0] + LINK[1]) * most >= LINK[0] * (F.col("n_x") + F.col("n_y"))).select("x", "y", "n_x", "n_y")
-    side = lambda s, *names: payload.dropDuplicates(["cid"]).select(F.col("cid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names])
-    able = pairs.join(side("x", "segments"), "x").join(side("y", "segments"), "y").mapInArrow(_suffix_filter, "x binary, y binary")
-    verified = able.join(side("x", "grams", "w"), "x").join(side("y", "grams", "w"), "y").mapInArrow(_verify, "x binary, y binary, w_x long, w_y long")
-    links = stored(verified, "verified")
+    side = lambda df, s, *names: df.select(F.col("no").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names])
+    able = pairs.join(side(classes, "x", "segments"), "x").join(side(classes, "y", "segments"), "y")
+    able = stored(able.mapInArrow(_suffix_filter, "x long, y long"), "pairs")
+
+    # the sets of the classes that are still in play
+    hot = lists.where(F.col("df") > small)
+    wanted = able.select(F.col("x").alias("no")).unionByName(able.select(F.col("y").alias("no"))).unionByName(hot.select("no")).distinct()
+    chosen = classes.select("no", "cid", "w", "rep").join(wanted, "no").join(shared.drop("hot"), "no")
+    with_text = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["rep"])).select("no", "cid", "n", "w", "shared", "df", "text")
+    payload = stored(with_text.mapInArrow(_payload, PAYLOAD), "sets")
+
+    verified = able.join(side(payload, "x", "grams", "w"), "x").join(side(payload, "y", "grams", "w"), "y").mapInArrow(_verify, "x long, y long, w_x long, w_y long")
+    links = stored(verified.distinct(), "verified")  # repeated rows bring a set twice
 
     # long lists: pairs of blocks
     number = F.ceil(F.col("df") / block).cast("int")
-    long_lists = lists.where(F.col("df") > small).select("cid", "token", number.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    cells = long_lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("cid", "token", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    members = cells.join(payload.select("cid", "n", "w", "shared", "df", "grams"), "cid")
-    in_cells = stored(members.groupBy("token", "a", "b").applyInArrow(lambda key, group: _cell(key, group, small), "x binary, y binary, weight long"), "cells")
+    in_blocks = hot.select("no", "token", number.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    cells = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("no", "token", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    members = cells.join(payload.select("no", "n", "w", "shared", "df", "grams"), "no")
+    in_cells = stored(members.groupBy("token", "a", "b").applyInArrow(lambda key, group: _cell(key, group, small), "x long, y long, weight long"), "cells")
 
     roots = components(links.select("x", "y").unionByName(in_cells.select("x", "y")), "x", "y")
-    degree = links.select(F.col("x").alias("cid"), F.col("w_y").alias("weight")).unionByName(links.select(F.col("y").alias("cid"), F.col("w_x").alias("weight")))
-    degree = degree.unionByName(in_cells.select(F.col("x").alias("cid"), "weight")).groupBy("cid").agg(F.sum("weight").alias("degree"))
-    reps = classes.select("cid", "rep", "w")
-    smallest = roots.join(reps, roots["id"] == reps["cid"]).groupBy("root").agg(F.min("rep").alias("smallest"))
-    named = roots.join(smallest, "root").select(F.col("id").alias("cid"), "smallest").join(degree, "cid", "left")
-    known = stored(reps.join(named, "cid", "left").select("cid", F.coalesce("smallest", "rep").alias("component"), (F.coalesce("degree", F.lit(0)) + F.col("w") - 1).alias("n_links")), "components")
+    degree = links.select(F.col("x").alias("no"), F.col("w_y").alias("weight")).unionByName(links.select(F.col("y").alias("no"), F.col("w_x").alias("weight")))
+    degree = degree.unionByName(in_cells.select(F.col("x").alias("no"), "weight")).groupBy("no").agg(F.sum("weight").alias("degree"))
+    reps = classes.select("no", "cid", "rep", "w")
+    smallest = roots.join(reps, roots["id"] == reps["no"]).groupBy("root").agg(F.min("rep").alias("smallest"))
+    named = roots.join(smallest, "root").select(F.col("id").alias("no"), "smallest").join(degree, "no", "left")
+    known = stored(reps.join(named, "no", "left").select("cid", F.coalesce("smallest", "rep").alias("component"), (F.coalesce("degree", F.lit(0)) + F.col("w") - 1).alias("n_links")), "components")
     rows = each.select("doc_id", "n", "cid").join(known, "cid", "left")
     alone = F.col("n") == 0
     return rows.select(

@@ -16,8 +16,8 @@ Weights: children share equally unless `weights` names them by path. The number
 checked against MAX_LEAVES before anything is collected or broadcast.
 
 Defined results: null lang or source is the name '(none)'; null and empty texts have no token and
-ride with their key; rows of one id in one leaf have one key and are taken together; an empty table
-gives no rows; extra columns are carried through; names that end in an underscore are used inside.
+ride with their key; a leaf starts no epoch without budget, so one without tokens gives no rows; rows of one id in one leaf have one key and are taken together; an empty table
+gives no rows; extra columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -91,12 +91,12 @@ def budgets(leaves: dict[tuple, int], budget: float, weights: dict[tuple, float]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the leaf (l1_, l2_, l3_), tokens n_ and the text of the id."""
+    """The leaf (l1_, l2_, l3_), tokens n_ and the text of the id, with the whole row beside them."""
     source = F.coalesce(F.col("source"), F.lit(NONE))
-    return docs.withColumns({
-        "l1_": domain(source), "l2_": F.coalesce(F.col("lang"), F.lit(NONE)), "l3_": source, "n_": tokens(F.col("text")),
-        "id_": F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE)),
-    })
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), domain(source).alias("l1_"), F.coalesce(F.col("lang"), F.lit(NONE)).alias("l2_"), source.alias("l3_"),
+        tokens(F.col("text")).alias("n_"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE)).alias("id_"),
+    )
 
 
 def _key(seed: int, epoch: Column) -> Column:
@@ -108,8 +108,8 @@ LEAF = ["l1_", "l2_", "l3_"]
 
 
 def mix(docs: DataFrame, budget: float | None = None, weights: dict[tuple, float] | None = None, epochs: int = EPOCHS, seed: int = SEED, share: float = BUDGET_SHARE) -> DataFrame:
-    """The rows of docs that are selected, with epoch and n_tokens added; a row taken in several
-    epochs comes several times. budget is in tokens; without it, share of all tokens."""
+    """domain, lang, source, epoch, n_tokens and row (all columns of docs) of the rows that are selected;
+    a row taken in several epochs comes several times. budget is in tokens; without it, share of all."""
     spark, weights = docs.sparkSession, WEIGHTS if weights is None else weights
     keyed = _keyed(docs)
     slim = keyed.select(*LEAF, "id_", "n_")
@@ -148,17 +148,17 @@ def mix(docs: DataFrame, budget: float | None = None, weights: dict[tuple, float
     epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     joined = keyed.join(F.broadcast(final_plan), LEAF).withColumn("epoch", epoch)
     taken = (F.col("epoch") < F.col("whole_")) | ((F.col("epoch") == F.col("whole_")) & (_key(seed, F.col("epoch")) < F.col("cut_")))
-    return joined.where(taken).withColumnRenamed("n_", "n_tokens").drop("id_", "whole_", "cut_")
+    return joined.where(taken).select(F.col("l1_").alias("domain"), F.col("l2_").alias("lang"), F.col("l3_").alias("source"), "epoch", F.col("n_").alias("n_tokens"), "row")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).select("doc_id", F.col("l1_").alias("domain"), F.col("l2_").alias("lang"), F.col("l3_").alias("source"), "epoch", "n_tokens")
+    return mix(docs).select("row.doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: what the budget takes; a row of two epochs comes twice."""
-    return mix(docs).select(docs.columns)
+    return mix(docs).select("row.*")
 
 
 QUERIES = {"op6_mixing": op6_mixing}

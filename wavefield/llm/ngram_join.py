@@ -294,9 +294,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each group of linked documents the one with the smallest id stays."""
-    keep = link_documents(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    """The pipeline's stage: of each group of linked documents the one with the smallest id stays; rows of
+    one id (null ids too) stay or go together."""
+    keep = link_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id_")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id_")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op4_ngram_join": op4_ngram_join}

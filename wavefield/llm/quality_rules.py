@@ -6,8 +6,8 @@ this way is rejected. The cleaning never looks across rows, so there is no shuff
 
 Defined results: a null text counts as ''; a text without words has zeros everywhere and fails
 the base test; lines without a word are never judged and stay; repeated rows are judged one by
-one; extra columns of the input are carried through by `clean_documents`, and its own columns
-(`words_`, `judged_` ...) end in an underscore and are dropped again.
+one; `clean_documents` carries other columns through, but for those named like its results, which it
+replaces; the pipeline's stage keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -113,8 +113,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: rejected documents go, failing lines of the others too."""
-    cleaned = clean_documents(docs).where("kept")
-    return cleaned.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return clean_documents(rows).where("kept").select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _sql_count(text: str, pattern: str) -> str:

@@ -42,7 +42,7 @@ _FOLDED[128:] = np.arange(128, 256)
 def counts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     """(first index, square-rooted counts of hashed n-grams) of runs of texts."""
     lowered = pc.utf8_lower(pa.array([x or "" for x in texts], pa.string())).to_pylist()
-    for first, run in blocks(lowered, 1 << 20):
+    for first, run in blocks(lowered, 1 << 20, 512):
         buf, at = joined(run)
         b = _FOLDED[buf].astype(np.uint32)
         two = b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA6B)

@@ -2,7 +2,7 @@
 
 Lines are normalised: letters lowered, digits to 0, ASCII punctuation and white space to single blanks.
 Lines of equal normal form are one class. A class of MIN_WORDS words or more has a 64-bit SimHash of
-its words, cut into five blocks; with at most three differing bits two whole blocks agree, so classes
+its words, weighed by length and cut into five blocks; with at most three differing bits two whole blocks agree, so classes
 are brought together on each of the ten pairs of blocks (26 bits wide, so that chance meetings stay
 rare). Two classes that meet link if at most MAX_BITS bits differ and the edit similarity of the normal
 forms, 1 - distance / longer length, is MIN_SIMILARITY or more. Of each connected group of classes one
@@ -21,6 +21,8 @@ no rows; extra columns are ignored, or carried through by `remove_lines`.
 from __future__ import annotations
 
 import itertools
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ from wavefield.llm.graph import components
 from wavefield.llm.textbytes import blocks, joined, mixed, words
 
 MIN_WORDS, MAX_BITS, MIN_SIMILARITY = 5, 8, 0.8
+MAX_WEIGHT = 14
 SMALL, BLOCK = 64, 256
 #: First bit and width of the SimHash's blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -49,16 +52,39 @@ _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
 
 
+#: What leaves a word in the normal form.
+_LETTER = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]")
+
+
 def _lowered(texts: pa.Array) -> list[str | None]:
     return pc.utf8_lower(texts).to_pylist()
 
 
+#: The four bits of either half of a byte, highest first, in 16-bit lanes of one number.
+_LANES = [np.array([sum(((b >> (shift + 3 - j)) & 1) << (48 - 16 * j) for j in range(4)) for b in range(256)], np.uint64) for shift in (4, 0)]
+#: Words that a lane can take in at full weight.
+_LANE_WORDS = 65_535 // MAX_WEIGHT
+
+
+def _bit_sums(h: np.ndarray, weight: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each line and bit, highest first, the weight of the line's hashes that have the bit: four bits
+    are added up at a time, longer lines in parts."""
+    long = np.flatnonzero(n > _LANE_WORDS)
+    starts = np.sort(np.concatenate([first, *[first[i] + np.arange(_LANE_WORDS, n[i], _LANE_WORDS) for i in long]])) if len(long) else first
+    out, octets, w = np.empty((len(starts), 64), np.int64), h.astype(">u8").view(np.uint8).reshape(-1, 8), weight.astype(np.uint64)
+    for k in range(16):
+        lanes = np.add.reduceat(_LANES[k % 2][octets[:, k // 2]] * w, starts)
+        for j in range(4):
+            out[:, 4 * k + j] = (lanes >> np.uint64(48 - 16 * j)) & np.uint64(0xFFFF)
+    return np.add.reduceat(out, np.searchsorted(starts, first), axis=0) if len(long) else out
+
+
 def line_table(run: list[bytes]) -> tuple[np.ndarray, ...]:
     """Text number, line number, id, SimHash and word count of the lines with a word."""
     raw, at = joined(run)
     buf = _NORMAL[raw]
     feeds = np.flatnonzero(raw == 10)
-    starts, _, h = words(buf, _BLANK[buf])
+    starts, ends, h = words(buf, _BLANK[buf])
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     line = np.searchsorted(feeds, starts)
@@ -66,8 +92,10 @@ def line_table(run: list[bytes]) -> tuple[np.ndarray, ...]:
     n = np.diff(np.append(first, len(line)))
     place = np.arange(len(line)) - np.repeat(first, n)
     ids = mixed(np.add.reduceat(h * (mixed(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), first) + n.astype(np.uint64))
-    ones = np.add.reduceat(np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
-    simhash = np.packbits(2 * ones > n[:, None], axis=1).reshape(-1, 8).copy().view(">u8").ravel().astype(np.uint64)
+    # a word weighs by its length: short ones are in every line and would make all lines alike
+    weight = np.clip(ends - starts - 2, 1, MAX_WEIGHT).astype(np.uint8)
+    total = np.add.reduceat(weight, first, dtype=np.int64)
+    simhash = np.packbits(2 * _bit_sums(h, weight, first, n) > total[:, None], axis=1).reshape(-1, 8).copy().view(">u8").ravel().astype(np.uint64)
     mine = line[first]
     first_line = np.searchsorted(feeds, at)[:-1]
     text = np.searchsorted(first_line, mine, side="right") - 1
@@ -91,15 +119,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = batch.column("wanted").to_pylist()
         for first, run in blocks(_lowered(batch.column("text"))):
             ids, forms = [], []
-            text, number, line_ids, _, _ = line_table(run)
-            known = {(t, k): i for t, k, i in zip(text.tolist(), number.tolist(), line_ids.tolist(), strict=True)}
             for i, data in enumerate(run):
                 lines = data.split(b"\n")
                 for x in wanted[first + i]:
-                    if x["line_no"] < len(lines) and known.get((i, x["line_no"])) == x["line_id"]:
+                    if x["line_no"] < len(lines):
                         ids.append(x["line_id"])
-                        form = b" ".join(filter(None, lines[x["line_no"]].translate(table_of).split(b" ")))
-                        forms.append(form.decode("utf-8", "replace"))
+                        forms.append(b" ".join(filter(None, lines[x["line_no"]].translate(table_of).split(b" "))))
+            found = np.zeros(len(forms), np.int64)
+            if forms:
+                text, _, line_ids, _, _ = line_table(forms)
+                found[text] = line_ids
+            same = [i for i in range(len(forms)) if found[i] == ids[i]]
+            ids, forms = [ids[i] for i in same], [forms[i].decode("utf-8", "replace") for i in same]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], ["line_id", "form"])
 
 
@@ -132,9 +163,19 @@ def edit_distance(a: str, b: str, limit: int) -> int:
 
 
 def similar(a: str, b: str) -> bool:
+    """Whether the edit similarity reaches MIN_SIMILARITY. Two bounds settle most pairs: word by word
+    where both have as many words, and the characters that one has and the other lacks."""
     longer = max(len(a), len(b))
     limit = int((1 - MIN_SIMILARITY) * longer + 1e-9)
-    return abs(len(a) - len(b)) <= limit and edit_distance(a, b, limit) <= limit
+    if abs(len(a) - len(b)) > limit:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= limit:
+        return True
+    here, there = Counter(a), Counter(b)
+    if max((here - there).total(), (there - here).total()) > limit:
+        return False
+    return edit_distance(a, b, limit) <= limit
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +210,12 @@ def line_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> Data
     classes = lines.groupBy("line_id").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("n_words").alias("n_words")
     )
-    classes = stored(classes, "classes")
-    entries = classes.where(F.col("n_words") >= MIN_WORDS).select("line_id", "simhash", F.explode(_keys(F.col("simhash"))).alias("key"))
+    # a number for each class, written down with it: shorter than the ids where the ten keys are dealt out
+    classes = stored(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
+    entries = classes.where(F.col("n_words") >= MIN_WORDS).select("no", F.explode(_keys(F.col("simhash"))).alias("key"))
     frequent = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    lists = stored(entries.join(frequent, "key"), "keys")
+    met = entries.join(frequent, "key")
+    lists = stored(met.join(classes.select("no", "line_id", "simhash"), "no").drop("no"), "keys")
 
     x = lists.where(F.col("df") <= small).select("key", F.col("line_id").alias("x"), F.col("simhash").alias("bits_x"))
     y = lists.where(F.col("df") <= small).select("key", F.col("line_id").alias("y"), F.col("simhash").alias("bits_y"))
@@ -219,7 +262,7 @@ def remove_lines(docs: DataFrame, groups: DataFrame) -> DataFrame:
                 if gone_lines and texts[i]:
                     numbers = set(gone_lines)
                     texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in numbers)
-                keep.append(not gone_lines or len(line_table([texts[i].lower().encode()])[0]) > 0)
+                keep.append(not gone_lines or _LETTER.search(texts[i] or "") is not None)
             new = {"text": pa.array(texts, pa.string())}
             if counted:
                 sizes = [len(x) if y and x is not None else n for x, y, n in zip(texts, lost, batch.column("n_chars").to_pylist(), strict=True)]

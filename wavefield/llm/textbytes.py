@@ -15,12 +15,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def blocks(texts: list[str | None], limit: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, encoded texts) in runs of about limit bytes; a null text is empty."""
+def blocks(texts: list[str | None], limit: int = BLOCK, most: int = 1 << 30) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, encoded texts) in runs of about limit bytes and at most so many texts; a null
+    text is empty."""
     first, run, size = 0, [], 0
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
-        if run and size + len(data) > limit:
+        if run and (size + len(data) > limit or len(run) >= most):
             yield first, run
             first, run, size = i, [], 0
         run.append(data)
@@ -53,8 +54,9 @@ def words(buf: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
     # sum of byte * odd power of its place in the word, over the word
+    gaps = np.diff(np.append(starts, len(buf)))
     within = np.arange(len(buf), dtype=np.int64)
-    within -= np.repeat(starts, np.diff(np.append(starts, len(buf)))) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(buf))))])
+    within[starts[0] :] -= np.repeat(starts, gaps)
     powers = mixed(np.arange(4096, dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
     far = within >= 4096
     value = powers[np.where(far, 0, within)]

@@ -178,7 +178,33 @@ _RECENT = "win AS (SELECT window_id, t, lag(t) OVER (ORDER BY t) AS t1 FROM (SEL
 _R = "round(omega, 4) AS omega, round(kx, 8) + 0.0 AS kx, round(ky, 8) + 0.0 AS ky, round(w, 8) + 0.0 AS w"
 _F2 = f"sqrt(9.81::DOUBLE * {_G} * ((exp(2 * {_G} * 4) - 1) / (exp(2 * {_G} * 4) + 1)))"
 
+
+
+def _direction_sql(src: str, dst: str, layers: int = 0) -> str:
+    """The direction filter: powers of each cell's moment matrix, scaled to trace one, tend to a a' for its
+    principal axis a, and p' a a' p is the squared projection of p."""
+    square = "(a*a+b*b+c*c)/t, (a*b+b*d+c*e)/t, (a*c+b*e+c*f)/t, (b*b+d*d+e*e)/t, (b*c+d*e+e*f)/t, (c*c+e*e+f*f)/t"
+    moments = "sum(kx*kx)/s, sum(kx*ky)/s, sum(kx*omega)/s, sum(ky*ky)/s, sum(ky*omega)/s, sum(omega*omega)/s".replace("/s", " / sum(kx*kx + ky*ky + omega*omega)")
+    return (
+        f"{dst}_m(window_id, cell, i, a, b, c, d, e, f) AS (SELECT window_id, cell, 0, {moments} FROM {src} GROUP BY window_id, cell "
+        f"UNION ALL SELECT window_id, cell, i + 1, {square} FROM (SELECT *, a*a + d*d + f*f + 2 * (b*b + c*c + e*e) AS t FROM {dst}_m WHERE i < 24)), "
+        f"{dst}_l AS (SELECT window_id, cell, count(DISTINCT omega) AS l FROM {src} GROUP BY window_id, cell), "
+        f"{dst} AS (SELECT p.* FROM {src} p JOIN {dst}_m USING (window_id, cell) JOIN {dst}_l USING (window_id, cell) WHERE i = 24 AND "
+        f"(l < {layers} OR kx*kx*a + ky*ky*d + omega*omega*f + 2 * (kx*ky*b + kx*omega*c + ky*omega*e) >= omega * omega * (1 - 1e-12::DOUBLE)))"
+    )
+
+
+def _gamma_sql(src: str, dst: str, low: float, high: float) -> str:
+    rep = f"{dst}_r AS (SELECT window_id, cell, omega, sqrt(pow(sum(kx * w) / sum(w), 2) + pow(sum(ky * w) / sum(w), 2)) AS k FROM {src} GROUP BY window_id, cell, omega)"
+    return rep + f", {dst} AS (SELECT p.* FROM {src} p JOIN {dst}_r USING (window_id, cell, omega) WHERE k > 0 AND omega * omega / (9.81::DOUBLE * k) BETWEEN {low} AND {high})"
+
+
+_STEPS = ", ".join([_direction_sql("pts", "s1", 5), _gamma_sql("s1", "s2", 0.0, 1.5), _direction_sql("s2", "s3", 3), _gamma_sql("s3", "s4", 0.3, 1.0)])
+
 ORACLES = {
+    "c4_direction_filter": "WITH RECURSIVE " + POINTS_SQL + ", " + _direction_sql("pts", "s1") + " SELECT window_id, cell, count(*) AS n FROM s1 GROUP BY window_id, cell",
+    "c5_filter_cloud": "WITH RECURSIVE " + POINTS_SQL + ", " + _STEPS + f""", n AS (SELECT window_id, cell, count(*) AS n, count(DISTINCT omega) AS l FROM s4 WHERE {_G} > 0 GROUP BY window_id, cell)
+      SELECT window_id, cell, CASE WHEN n IS NULL THEN 1 WHEN l < 3 THEN 2 WHEN n < 3 THEN 3 ELSE 0 END::INTEGER AS status FROM (SELECT DISTINCT window_id, cell FROM pts) LEFT JOIN n USING (window_id, cell)""",
     "c1_representative_same": _WITH + ", rep AS (SELECT window_id, cell, omega, median(kx) AS kx, median(ky) AS ky, median(w) AS w FROM pts GROUP BY window_id, cell, omega) SELECT window_id, cell, " + _R + " FROM rep",
     "c1_representative_diff": _WITH + "," + _DIFF + " SELECT window_id, cell, " + _R + " FROM rep",
     "c1_representative_best": _WITH + ", rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id, cell, omega ORDER BY w DESC, kx DESC, ky DESC) AS rn FROM pts) WHERE rn = 1) SELECT window_id, cell, " + _R + " FROM rep",
@@ -208,6 +234,9 @@ ORACLES = {
       e AS (SELECT window_id, cell, sum(CASE WHEN omega * omega / (9.81::DOUBLE * {_G}) < 1 THEN atanh(CASE WHEN omega * omega / (9.81::DOUBLE * {_G}) < 1 THEN omega * omega / (9.81::DOUBLE * {_G}) ELSE 0 END) / {_G} * ww END) / sum(ww) AS d FROM m GROUP BY window_id, cell)
       SELECT window_id, cell, round(CASE WHEN d BETWEEN 0.1 AND 50 THEN d ELSE 5 END, 4) AS d0 FROM e""",
     "f2_dispersion": _WITH + f" SELECT window_id, cell, round(sum({_F2} + 0.2::DOUBLE * kx - 0.1::DOUBLE * ky), 5) + 0.0 AS m FROM pts GROUP BY window_id, cell",
+    "f7_fit_quality": _WITH + f""", e AS (SELECT window_id, cell, sum(pow({_F2} - omega, 2)) AS rss, sum(omega * omega) - sum(omega) * sum(omega) / count(*) AS total, count(*) AS n FROM pts GROUP BY window_id, cell HAVING count(*) > 3),
+      q AS (SELECT *, round_even(sqrt(rss / (n - 3)) / 0.002::DOUBLE, 0) * 0.002::DOUBLE AS rm, CASE WHEN total > 1e-9 THEN round_even((1 - rss / total) / 0.002::DOUBLE, 0) * 0.002::DOUBLE END AS r FROM e)
+      SELECT window_id, cell, n, CASE WHEN r >= 0 THEN round(rm, 5) + 0.0 END AS rmse, CASE WHEN r >= 0 THEN round(r, 5) + 0.0 END AS r2 FROM q""",
     "k5_combine_estimates": _WITH + """, e AS (SELECT *, w * 5 AS ef, CASE WHEN w > 0.03 THEN kx * 9 ELSE 0 END AS cx, CASE WHEN w > 0.03 THEN ky * 3 ELSE 0 END AS cy FROM pts),
       f AS (SELECT *, sqrt(cx * cx + cy * cy) AS c, sqrt(0.981::DOUBLE) AS c0 FROM e), o AS (SELECT window_id, cell, kx, (1 - ef) / 2 AS w FROM f UNION ALL SELECT window_id, cell, kx / 2, (1 - ef) / 2 FROM f UNION ALL SELECT window_id, cell, omega * cx / (c * c), 1 - w FROM f WHERE c >= c0)
       SELECT window_id, cell, count(*) AS n, round(sum(w), 4) + 0.0 AS w, round(sum(kx), 3) + 0.0 AS kx FROM o GROUP BY window_id, cell""",

@@ -115,6 +115,10 @@ def f2_dispersion(spark, d):
     return rounded(p.groupBy(*CELL).agg(F.sum("m").alias("m")), CELL, m=5)
 
 
+def f3_fit_depth(spark, d):
+    return rounded(fit.fit_depth(cloud.layer_gate(points(spark, d))), CELL, d=3, rmse=3)
+
+
 def f4_fit_depth_current(spark, d):
     p = cloud.layer_gate(cloud.layer_weights(points(spark, d)).withColumn("w", F.col("w") * F.col("layer_w")))
     return rounded(fit.fit_depth_current(p), CELL, d=3, u=3, v=3)
@@ -249,7 +253,7 @@ QUERIES = {f"c1_representative_{k}": _rep(k) for k in ("same", "diff", "best")}
     q.__name__: q
     for q in (
         c2_phase_velocity, c3_gamma_filter, c4_direction_filter, c5_filter_cloud, c6_disc_kernel, c7_sample_kernel, c8_neighbour_cells, c9_recent_points, c10_combine_points, c11_layer_gate,
-        c12_layer_weights, c13_period_bins, c14_nearest_bin, c15_binned_phase_speed, c16_store_points, f1_depth_seed, f2_dispersion, f4_fit_depth_current, f5_fit_softbound, f6_fit_confidence,
+        c12_layer_weights, c13_period_bins, c14_nearest_bin, c15_binned_phase_speed, c16_store_points, f1_depth_seed, f2_dispersion, f3_fit_depth, f4_fit_depth_current, f5_fit_softbound, f6_fit_confidence,
         f7_fit_quality, f8_flip_sign, k5_combine_estimates, k6_collect_cloud, v3_layers_per_cell, v4_thin_vectors,
     )
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wavefield.functions.shared import shared_dir
 from wavefield.operators import grid, modes, tiles, validate
-from wavefield.plans.adapters import MODES_SQL, SOUNDINGS_SQL, cells, pixel_series, rounded, soundings, table
+from wavefield.plans.adapters import MODES_SQL, SERIES_SQL, SOUNDINGS_SQL, cells, pixel_series, rounded, soundings, table
 from wavefield.plans.adapters import modes as part_modes
 from wavefield.sources import frames as frame_source
 from wavefield.sources import soundings as survey
@@ -123,6 +124,30 @@ def s7_interpolate_scattered(spark, d):
     return rounded(survey.interpolate_scattered(s, at, 40.0), ["cell"], depth=4)
 
 
+def s1_read_frames(spark, d):
+    """Frames written as Parquet and read back."""
+    path = shared_dir(spark)
+    f = pixel_series(spark, d).select("video_id", "row", "col", F.posexplode("v").alias("frame", "value"))
+    f.where("value IS NOT NULL").write.parquet(path)
+    out = frame_source.read_frames(spark, path).groupBy("frame").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rounded(out, [F.col("frame").cast("long").alias("frame"), "n"], total=4)
+
+
+def s5_read_soundings(spark, d):
+    """Soundings written as text and read back."""
+    path = shared_dir(spark)
+    soundings(spark, d).select(F.concat_ws("  ", "x", "y", F.format_number("z", 4))).write.text(path)
+    return rounded(survey.read_soundings(spark, path), ["x", "y"], z=3)
+
+
+def s8_write_results(spark, d):
+    """Results written by video and read back."""
+    path = shared_dir(spark)
+    frame_source.write_results(grid.build_grid(_meta(spark, d), "fast"), path)
+    out = spark.read.parquet(path).groupBy("video_id").agg(F.count("*").alias("n"), F.sum("cell").alias("cells"))
+    return out.select(F.col("video_id").cast("string").alias("video_id"), "n", "cells")
+
+
 def v4_thin_field(spark, d):
     g = grid.build_grid(_meta(spark, d), "fast")
     return validate.thin_vectors(g, 4).select("video_id", "cell")
@@ -184,6 +209,9 @@ ORACLES = {
       c AS (SELECT s_suppkey AS cell, (s_suppkey % 10 * 37.0::DOUBLE + 3) / 10 AS x, (s_suppkey // 10 * 11.0::DOUBLE + 8) / 10 AS y FROM supplier), i AS (SELECT *, floor(x)::BIGINT AS ix, floor(y)::BIGINT AS iy, x - floor(x) AS fx, y - floor(y) AS fy FROM c),
       k AS (SELECT cell, ix AS nx, iy AS ny, 1 - greatest(fx, fy) AS s FROM i UNION ALL SELECT cell, ix + 1, iy + 1, least(fx, fy) FROM i UNION ALL SELECT cell, CASE WHEN fy > fx THEN ix ELSE ix + 1 END, CASE WHEN fy > fx THEN iy + 1 ELSE iy END, abs(fx - fy) FROM i)
       SELECT cell, CASE WHEN count(d) = count(*) THEN round(sum(s * d), 5) END AS depth FROM k LEFT JOIN n USING (nx, ny) WHERE s > 0 GROUP BY cell""",
+    "s1_read_frames": SERIES_SQL + " SELECT frame, count(x) AS n, round(sum(x), 4) + 0.0 AS total FROM px GROUP BY frame",
+    "s5_read_soundings": "WITH " + SOUNDINGS_SQL + " SELECT x, y, round(round(z, 4), 3) + 0.0 AS z FROM snd",
+    "s8_write_results": "WITH " + _META + ", " + _grid_sql("meta", 20) + " SELECT video_id, count(*) AS n, sum(cell)::BIGINT AS cells FROM grid GROUP BY video_id",
     "v4_thin_field": "WITH " + _META + ", " + _grid_sql("meta", 20) + " SELECT video_id, cell::BIGINT AS cell FROM grid WHERE (r0 // step) % 4 = 0 AND (c0 // step) % 4 = 0",
 }
 
@@ -191,6 +219,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         d9_sort_modes, d10_band_filter_modes, d11_drop_weak_modes, d12_fourier_amplitude, g1_build_grid, g2_tile_size, g3_clip_tiles, g4_g5_fit_tiles, g6_mask_cells, g7_k_tile_estimates,
-        s2_crop_stride, s3_mask_polygon, s4_synthetic_waves, s7_interpolate_gridded, s7_interpolate_scattered, v4_thin_field,
+        s2_crop_stride, s3_mask_polygon, s4_synthetic_waves, s7_interpolate_gridded, s7_interpolate_scattered, v4_thin_field, s1_read_frames, s5_read_soundings, s8_write_results,
     )
 }

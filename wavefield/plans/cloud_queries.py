@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from wavefield.operators import cloud, fit, neighbours, validate
 from wavefield.plans.adapters import CELLS_SQL, POINTS_SQL, cells, points, rounded, table
 
-LAYER = ["window_id", "cell", F.round("omega", 4).alias("omega")]
 CELL = ["window_id", "cell"]
 RADIUS, SPACING = 25.0, 10.0
 
 
 def _rep(kind):
     def query(spark, d):
-        return rounded(cloud.layer_representative(points(spark, d), kind), LAYER, kx=8, ky=8, w=8)
+        return rounded(cloud.layer_representative(points(spark, d), kind), CELL, omega=4, kx=8, ky=8, w=8)
 
     return query
 

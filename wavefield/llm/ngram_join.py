@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefield.llm.common import stored, table
+from wavefield.llm.common import WORD, stored, table
 from wavefield.llm.graph import components
 from wavefield.llm.textbytes import IS_SPACE, LOWER, blocks, joined, mixed, words
 
@@ -290,7 +290,7 @@ def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> D
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents"))
+    return link_documents(table(spark, sf_dir, "documents")).drop("class_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -301,4 +301,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_ngram_join": op4_ngram_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_ngram_join": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+g AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+o AS (SELECT a.rid AS a, b.rid AS b, count(*) AS o FROM g a JOIN g b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT a, b FROM o JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE {LINK[1]} * o >= {LINK[0]} * (x.n + y.n - o)),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY r.a),
+k AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)"""
+}

@@ -32,21 +32,25 @@ def _frames(spark, d):
     return preprocess.frame_rank(feed)
 
 
-def w1_frame_windows(spark, d):
+def _windowed(spark, d):
     f = _frames(spark, d)
     lengths = f.groupBy("video_id").agg((F.max("frame") + 1).alias("n_frames"))
-    w = windows.frame_windows(f.join(lengths, "video_id"), F.col("n_frames"))
+    return windows.frame_windows(f.join(lengths, "video_id"), F.col("n_frames"))
+
+
+def w1_frame_windows(spark, d):
+    w = _windowed(spark, d)
     stats = w.groupBy("video_id", F.col("window_id").cast("long").alias("window_id")).agg(F.count("*").alias("n"), F.min("frame").cast("long").alias("first"), F.sum("value").alias("total"))
     return rounded(stats, ["video_id", "window_id", "n", "first"], total=3)
 
 
 def w2_window_time(spark, d):
-    w = windows.frame_windows(_frames(spark, d), 640).select("video_id", F.col("window_id").cast("long").alias("window_id")).distinct()
+    w = _windowed(spark, d).select("video_id", F.col("window_id").cast("long").alias("window_id")).distinct()
     return w.select("video_id", "window_id", windows.window_time(F.col("window_id"), 0.5).alias("t"))
 
 
 def w3_frame_times(spark, d):
-    w = windows.frame_windows(_frames(spark, d), 640).select("video_id", F.col("window_id").cast("long").alias("window_id")).distinct()
+    w = _windowed(spark, d).select("video_id", F.col("window_id").cast("long").alias("window_id")).distinct()
     return w.select("video_id", "window_id", F.posexplode(windows.frame_times(0.5, 0, 64, stacked=True)).alias("i", "t")).select("video_id", "window_id", F.col("i").cast("long").alias("i"), "t")
 
 
@@ -87,6 +91,7 @@ k AS (SELECT cell, variable, rn, seq, x AS xhat, {first} AS p, t AS t_last FROM
 _FIT = _RECURSIVE.format(first="r", again="n.r", r="n.r", q=Q)
 _DIFF = _RECURSIVE.format(first="CASE WHEN x IS NOT NULL THEN 1.0::DOUBLE END", again="CASE WHEN n.x IS NOT NULL THEN 2.0::DOUBLE END", r="CASE WHEN abs(n.x - k.xhat) = 0 THEN 1e-7::DOUBLE ELSE abs(n.x - k.xhat) END", q=Q)
 _FRAMES = "f AS (SELECT (user_id % 4)::VARCHAR AS video_id, value, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS frame FROM events)"
+_WIN = _FRAMES + ", l AS (SELECT video_id, max(frame) + 1 AS n FROM f GROUP BY video_id), w AS (SELECT video_id, unnest(range(0, (n - 64) // 32 + 1)) AS window_id FROM l WHERE n >= 64)"
 _TRUTH = """maps AS (SELECT cell, seq % 20 AS window_id, abs(x) / 10 AS d FROM obs WHERE x IS NOT NULL),
 t0 AS (SELECT p_partkey AS cell, CASE WHEN p_retailprice / 100 + 0.077::DOUBLE >= 0.1 THEN p_retailprice / 100 + 0.077::DOUBLE END + CASE WHEN p_partkey % 40 = 7 THEN 30.0 ELSE 0.0 END AS depth FROM part),
 truth AS (SELECT * FROM t0 WHERE depth <= 35), pairs AS (SELECT * FROM maps JOIN truth USING (cell))"""
@@ -97,8 +102,8 @@ ORACLES = {
     "t3_observation_error": _DIFF + " SELECT cell, variable, seq, round(xhat, 5) + 0.0 AS xhat, round(p, 5) + 0.0 AS p FROM k",
     "t2_kalman_running": "WITH " + OBS_SQL + ", w AS (SELECT *, sum(CASE WHEN x IS NOT NULL THEN 1 / r END) OVER o AS s, sum(x / r) OVER o AS m FROM obs WINDOW o AS (PARTITION BY cell, variable ORDER BY t, seq ROWS UNBOUNDED PRECEDING)) SELECT cell, variable, seq, round(m / s, 5) + 0.0 AS xhat, round(1 / s, 6) + 0.0 AS p FROM w",
     "w1_frame_windows": "WITH " + _FRAMES + ", l AS (SELECT video_id, max(frame) + 1 AS n FROM f GROUP BY video_id), w AS (SELECT video_id, unnest(range(0, (n - 64) // 32 + 1)) AS window_id FROM l WHERE n >= 64) SELECT video_id, window_id, count(*) AS n, min(frame) AS first, round(sum(value), 3) + 0.0 AS total FROM w JOIN f USING (video_id) WHERE frame BETWEEN window_id * 32 AND window_id * 32 + 63 GROUP BY video_id, window_id",
-    "w2_window_time": "SELECT DISTINCT (user_id % 4)::VARCHAR AS video_id, window_id, (window_id * 32 + 32) * 0.5::DOUBLE AS t FROM events, (SELECT unnest(range(0, 19)) AS window_id)",
-    "w3_frame_times": "SELECT DISTINCT (user_id % 4)::VARCHAR AS video_id, window_id, i, i * 0.5::DOUBLE AS t FROM events, (SELECT unnest(range(0, 19)) AS window_id), (SELECT unnest(range(0, 63)) AS i)",
+    "w2_window_time": "WITH " + _WIN + " SELECT video_id, window_id, (window_id * 32 + 32) * 0.5::DOUBLE AS t FROM w",
+    "w3_frame_times": "WITH " + _WIN + " SELECT video_id, window_id, i, i * 0.5::DOUBLE AS t FROM w, (SELECT unnest(range(0, 63)) AS i)",
     "v1_depth_error_stats": "WITH " + OBS_SQL + "," + _TRUTH + " SELECT window_id, count(*) AS n, round(avg(depth - d), 5) + 0.0 AS bias, round(sqrt(avg((depth - d) * (depth - d))), 5) + 0.0 AS rmse, round(sqrt(greatest(0, avg((depth - d) * (depth - d)) - avg(depth - d) * avg(depth - d))), 5) + 0.0 AS rmse_unbiased FROM pairs GROUP BY window_id",
     "v2_truth_pairs": "WITH " + OBS_SQL + "," + _TRUTH + " SELECT cell, count(*) AS n, round(max(depth), 5) + 0.0 AS truth, round(sum(d), 4) + 0.0 AS total FROM pairs GROUP BY cell",
     "s6_soundings_to_depth": "WITH s AS (SELECT p_partkey % 40 * 10.0::DOUBLE AS x, (p_partkey // 40) * 10.0::DOUBLE AS y, p_retailprice / 100 + 0.077::DOUBLE AS a, -p_retailprice / 100 + 9.6::DOUBLE AS b FROM part) SELECT x, y, CASE WHEN a >= 0.1 THEN round(a, 5) + 0.0 END AS down, CASE WHEN b >= 0.3 THEN round(b, 5) + 0.0 END AS up FROM s",

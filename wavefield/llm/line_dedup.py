@@ -240,7 +240,8 @@ def line_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> Data
     # groups of more than one line: repeated classes and connected ones
     members = classes.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").where((F.col("n") > 1) | F.col("root").isNotNull())
     members = members.withColumn("group_id", F.coalesce("root", "line_id"))
-    firsts = members.groupBy("group_id").agg(F.min("first").alias("kept_at"))
+    # written down, so that a group with very many classes can be split in the join below
+    firsts = stored(members.groupBy("group_id").agg(F.min("first").alias("kept_at")), "firsts")
     known = stored(members.select("line_id", "group_id").join(firsts, "group_id"), "groups")
     rows = lines.select("doc_id", "line_no", "line_id").join(known, "line_id", "left")
     here = F.struct("doc_id", "line_no")

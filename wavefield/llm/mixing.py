@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavefield.llm.common import SPACE, table
+from wavefield.llm.common import SPACE, stored, table
 
 BUDGET_SHARE, EPOCHS, SEED, MAX_LEAVES = 0.5, 2, 17, 100_000
 #: Rows that a hash slice of a leaf holds, about.
@@ -112,7 +112,8 @@ def mix(docs: DataFrame, budget: float | None = None, weights: dict[tuple, float
     a row taken in several epochs comes several times. budget is in tokens; without it, share of all."""
     spark, weights = docs.sparkSession, WEIGHTS if weights is None else weights
     keyed = _keyed(docs)
-    slim = keyed.select(*LEAF, "id_", "n_")
+    # counted once: ids and counts are a few bytes a row, texts are not
+    slim = stored(keyed.select(*LEAF, "id_", "n_"), "counts")
     sizes = slim.groupBy(*LEAF).agg(F.sum("n_").alias("n_"), F.count("*").alias("rows_"))
     found = sizes.limit(MAX_LEAVES + 1).collect()
     if len(found) > MAX_LEAVES:

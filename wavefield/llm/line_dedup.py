@@ -1,12 +1,16 @@
-"""Fuzzy line deduplication (operator 3): SimHash, pigeonhole blocks, edit similarity, components.
+"""Fuzzy line deduplication (operator 3): SimHash and pigeonhole keys, edit similarity, components.
 
 Lines are normalised: letters lowered, digits to 0, ASCII punctuation and white space to single blanks.
 Lines of equal normal form are one class. A class of MIN_WORDS words or more has a 64-bit SimHash of
 its words, weighed by length and cut into five blocks; with at most three differing bits two whole blocks agree, so classes
 are brought together on each of the ten pairs of blocks (26 bits wide, so that chance meetings stay
-rare). Two classes that meet link if at most MAX_BITS bits differ and the edit similarity of the normal
-forms, 1 - distance / longer length, is MIN_SIMILARITY or more. Of each connected group of classes one
-occurrence is kept, the first by doc_id and line number.
+rare). One changed word of a short line can turn far more bits, so classes also meet on parts of
+their words (`text_keys`): lines of up to DROP_WORDS words on what is left without any one word (of up to
+DROP_TWO_WORDS, without any two), longer ones on their first and last halves, and all of more than
+DROP_TWO_WORDS on the least of their shingles under HASHES orders. Lines that differ in one place (a word changed, added, lost, and from DROP_WORDS words on split) always meet.
+Two classes that meet link if the edit similarity of the normal forms, 1 - distance / longer length, is
+MIN_SIMILARITY or more, however many bits differ. Of each connected group of classes one occurrence is
+kept, the first by doc_id and line number.
 
 A key that SMALL classes or fewer share gives pairs; a key of more is cut into blocks of about BLOCK
 classes, and each pair of blocks is one task's group that carries the texts, verifies what is not yet
@@ -35,12 +39,14 @@ from wavefield.llm.common import stored, table
 from wavefield.llm.graph import components
 from wavefield.llm.textbytes import blocks, joined, mixed, words
 
-MIN_WORDS, MAX_BITS, MIN_SIMILARITY = 5, 8, 0.8
+#: Any two SimHashes may link: edit similarity alone decides about classes that met.
+MIN_WORDS, MAX_BITS, MIN_SIMILARITY = 5, 64, 0.8
+DROP_TWO_WORDS, DROP_WORDS, SHINGLE, HASHES = 9, 12, 4, 4
 MAX_WEIGHT = 14
 SMALL, BLOCK = 64, 256
 #: First bit and width of the SimHash's blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-LINES = "doc_id long, line_no int, line_id long, simhash long, n_words int"
+LINES = "doc_id long, line_no int, line_id long, simhash long, n_words int, size int, parts array<int>"
 
 #: Normal form by byte: letters lowered, digits 0, other ASCII (line feeds too) a blank.
 _NORMAL = np.full(256, 0x20, np.uint8)
@@ -79,14 +85,68 @@ def _bit_sums(h: np.ndarray, weight: np.ndarray, first: np.ndarray, n: np.ndarra
     return np.add.reduceat(out, np.searchsorted(starts, first), axis=0) if len(long) else out
 
 
+_BASE = 0x9E3779B97F4A7C15
+#: Odd factors that give shingles different orders.
+_ORDERS = mixed(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
+
+
+def text_keys(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """For each line the 32-bit hashes of parts of its words on which near copies meet: each line of up to
+    DROP_WORDS words without one of them, and whole; from DROP_WORDS - 1 words on the first and last halves,
+    with and without the middle; up to DROP_TWO_WORDS words also without two, beyond on the least shingles.
+    h: hashes of all words."""
+    most = int(n.max(initial=1)) + 1
+    power, back = (np.cumprod(np.array([1, *[x] * most], np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    place = np.arange(len(h)) - np.repeat(first, n)
+    # sums over words: a difference of two, moved back to place 0, stands for the words between
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[place])])
+    owners, found = [], []
+
+    def add(owner: np.ndarray, value: np.ndarray, kind: int) -> None:
+        owners.append(owner)
+        found.append(mixed(value + np.uint64(kind)).astype(np.uint32))
+
+    line = np.repeat(np.arange(len(n)), n)
+    short = (n >= MIN_WORDS) & (n <= DROP_WORDS)
+    at = np.flatnonzero(short[line])
+    mine = line[at]
+    add(mine, sums[at] - sums[first[mine]] + (sums[first[mine] + n[mine]] - sums[at + 1]) * back[1], 1)
+    mine = np.flatnonzero(short)
+    add(mine, sums[first[mine] + n[mine]] - sums[first[mine]], 1)
+    for i, j in itertools.combinations(range(DROP_TWO_WORDS), 2):
+        mine = np.flatnonzero((n >= MIN_WORDS) & (n <= DROP_TWO_WORDS) & (n > j))
+        a, m = first[mine], n[mine]
+        add(mine, sums[a + i] - sums[a] + (sums[a + j] - sums[a + i + 1]) * back[1] + (sums[a + m] - sums[a + j + 1]) * back[2], 1)
+    for both, half in ((n >= DROP_WORDS - 1, n // 2), ((n >= DROP_WORDS - 1) & (n % 2 == 0), (n - 1) // 2)):
+        mine = np.flatnonzero(both)
+        a, k, m = first[mine], half[mine], n[mine]
+        add(mine, sums[a + k] - sums[a], 2)
+        add(mine, (sums[a + m] - sums[a + m - k]) * back[m - k], 3)
+    mine = np.flatnonzero(n > DROP_TWO_WORDS)
+    if len(mine):
+        at = np.flatnonzero((n[line] > DROP_TWO_WORDS) & (place + SHINGLE <= n[line]))
+        each, begin = mixed((sums[at + SHINGLE] - sums[at]) * back[place[at]]), np.flatnonzero(np.diff(line[at], prepend=-1))
+        for i, factor in enumerate(_ORDERS):
+            add(mine, np.minimum.reduceat(each * factor, begin), 4 + i)
+    owner, value = np.concatenate(owners), np.concatenate(found)
+    by = np.argsort(owner, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(value[by].view(np.int32)))
+
+
 def line_table(run: list[bytes]) -> tuple[np.ndarray, ...]:
     """Text number, line number, id, SimHash and word count of the lines with a word."""
+    return _line_parts(run)[:5]
+
+
+def _line_parts(run: list[bytes]) -> tuple:
+    """The columns of line_table, characters of the normal form and text_keys."""
     raw, at = joined(run)
     buf = _NORMAL[raw]
     feeds = np.flatnonzero(raw == 10)
     starts, ends, h = words(buf, _BLANK[buf])
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return *(np.zeros(0, np.int64) for _ in range(6)), pa.array([], pa.list_(pa.int32()))
     line = np.searchsorted(feeds, starts)
     first = np.flatnonzero(np.diff(line, prepend=-1))
     n = np.diff(np.append(first, len(line)))
@@ -99,16 +159,19 @@ def line_table(run: list[bytes]) -> tuple[np.ndarray, ...]:
     mine = line[first]
     first_line = np.searchsorted(feeds, at)[:-1]
     text = np.searchsorted(first_line, mine, side="right") - 1
-    return text, mine - first_line[text], ids.view(np.int64), simhash.view(np.int64), n
+    letters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    size = np.add.reduceat(letters[ends] - letters[starts], first) + n - 1
+    return text, mine - first_line[text], ids.view(np.int64), simhash.view(np.int64), n, size, text_keys(h, first, n)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, run in blocks(_lowered(batch.column("text"))):
-            text, number, ids, simhash, n = line_table(run)
+            text, number, ids, simhash, n, size, parts = _line_parts(run)
             doc_id = batch.column("doc_id").take(pa.array(text + first))
             yield pa.record_batch(
-                [doc_id, pa.array(number, pa.int32()), pa.array(ids), pa.array(simhash), pa.array(n, pa.int32())], ["doc_id", "line_no", "line_id", "simhash", "n_words"]
+                [doc_id, pa.array(number, pa.int32()), pa.array(ids), pa.array(simhash), pa.array(n, pa.int32()), pa.array(size, pa.int32()), parts],
+                ["doc_id", "line_no", "line_id", "simhash", "n_words", "size", "parts"],
             )
 
 
@@ -186,40 +249,52 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cell(key: tuple, group: pa.Table) -> pa.Table:
     """A spanning forest of the links within one pair of blocks of a hot key."""
-    group = group.group_by("line_id").aggregate([("simhash", "min"), ("form", "min")]).sort_by("line_id")
-    ids, bits, forms = group["line_id"].to_pylist(), group["simhash_min"].to_numpy().view(np.uint64), group["form_min"].to_pylist()
+    group = group.group_by("line_id").aggregate([("form", "min")]).sort_by("line_id")
+    ids, forms = group["line_id"].to_pylist(), group["form_min"].to_pylist()
+    size = np.array([len(x) for x in forms])
+    # bounds of the distance: lengths, and characters (64 kinds) that one has and the other lacks
+    count = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64) for x in forms]).reshape(-1, 64)
     root, found = np.arange(len(ids)), []
     for i in range(len(ids)):
-        near = np.bitwise_count(bits ^ bits[i]) <= MAX_BITS
-        for j in np.flatnonzero(near[:i]):
+        limit = ((1 - MIN_SIMILARITY) * np.maximum(size[:i], size[i]) + 1e-9).astype(np.int64)
+        able = np.flatnonzero(np.abs(size[:i] - size[i]) <= limit)
+        more = count[able] - count[i]
+        least = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        # the likeliest first: a link spares the others of its group
+        near = np.flatnonzero(least <= limit[able])
+        for j in able[near[np.argsort(least[near], kind="stable")]]:
             if root[i] != root[j] and similar(forms[i], forms[j]):
                 found.append((ids[j], ids[i]))
                 root[root == root[i]] = root[j]
     return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["x", "y"])
 
 
-def _keys(simhash: Column) -> Column:
+def _keys(simhash: Column, parts: Column | None) -> Column:
     part = lambda k: F.shiftrightunsigned(simhash, BLOCKS[k][0]).bitwiseAND((1 << BLOCKS[k][1]) - 1)
-    return F.array(*[F.lit(i << 26).cast("long") + part(a) * (1 << BLOCKS[b][1]) + part(b) for i, (a, b) in enumerate(itertools.combinations(range(5), 2))])
+    bits = F.array(*[F.lit(i << 26).cast("long") + part(a) * (1 << BLOCKS[b][1]) + part(b) for i, (a, b) in enumerate(itertools.combinations(range(5), 2))])
+    return bits if parts is None else F.concat(bits, F.transform(F.array_distinct(parts), lambda x: x.cast("long") - (1 << 40)))
 
 
-def line_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, line_no, line_id, group_id and kept of every line with a word."""
+def line_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK, word_parts: bool = False) -> DataFrame:
+    """doc_id, line_no, line_id, group_id and kept of every line with a word. With word_parts, as in the
+    query and the stage, lines also meet on text_keys; without, on SimHash blocks only."""
     docs = docs.select("doc_id", "text")
     lines = stored(docs.mapInArrow(_lines, LINES), "lines")
     classes = lines.groupBy("line_id").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("n_words").alias("n_words")
+        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("n_words").alias("n_words"),
+        F.min("size").alias("size"), F.first("parts").alias("parts"),
     )
-    # a number for each class, written down with it: shorter than the ids where the ten keys are dealt out
+    # a number for each class, written down with it: shorter than the ids where the keys are dealt out
     classes = stored(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
-    entries = classes.where(F.col("n_words") >= MIN_WORDS).select("no", F.explode(_keys(F.col("simhash"))).alias("key"))
+    entries = classes.where(F.col("n_words") >= MIN_WORDS).select("no", F.explode(_keys(F.col("simhash"), F.col("parts") if word_parts else None)).alias("key"))
     frequent = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     met = entries.join(frequent, "key")
-    lists = stored(met.join(classes.select("no", "line_id", "simhash"), "no").drop("no"), "keys")
+    lists = stored(met.join(classes.select("no", "line_id", "size"), "no").drop("no"), "keys")
 
-    x = lists.where(F.col("df") <= small).select("key", F.col("line_id").alias("x"), F.col("simhash").alias("bits_x"))
-    y = lists.where(F.col("df") <= small).select("key", F.col("line_id").alias("y"), F.col("simhash").alias("bits_y"))
-    near = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= MAX_BITS
+    x = lists.where(F.col("df") <= small).select("key", F.col("line_id").alias("x"), F.col("size").alias("size_x"))
+    y = lists.where(F.col("df") <= small).select("key", F.col("line_id").alias("y"), F.col("size").alias("size_y"))
+    # lengths too far apart for MIN_SIMILARITY: the texts need not be looked at
+    near = F.least("size_x", "size_y") >= MIN_SIMILARITY * F.greatest("size_x", "size_y") - 1e-6
     pairs = stored(x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & near).select("x", "y").distinct(), "pairs")
     number = F.ceil(F.col("df") / block).cast("int")
     hot = lists.where(F.col("df") > small).withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int"))
@@ -233,7 +308,7 @@ def line_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> Data
     side = lambda s: forms.select(F.col("line_id").alias(s), F.col("form").alias(f"form_{s}"))
     links = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_verify, "x long, y long")
     cells = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("line_id", "simhash", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(forms, "line_id")
+    cells = cells.select("line_id", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(forms, "line_id")
     in_cells = cells.groupBy("key", "a", "b").applyInArrow(_cell, "x long, y long")
     roots = components(links.unionByName(in_cells), "x", "y")
 
@@ -274,12 +349,12 @@ def remove_lines(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_groups(table(spark, sf_dir, "documents"))
+    return line_groups(table(spark, sf_dir, "documents"), word_parts=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: one occurrence of each group of lines stays in the corpus."""
-    return remove_lines(docs, line_groups(docs))
+    return remove_lines(docs, line_groups(docs, word_parts=True))
 
 
 QUERIES = {"op3_line_dedup": op3_line_dedup}

@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join (operator 4): rare-first prefix filtering.
 
-Texts with equal sets of word 3-shingles form one class, found by a digest. All shingles have one
+Texts with equal sets of word shingles (three words in the query, five in the stage) form one class, found by a digest. All shingles have one
 order, rare ones first: by their total count in a hashed table of fixed size (2**ORDER_BITS numbers,
 counted over all documents), then by hash. Two sets that link share a shingle among the first
-n - ceil(0.9 n) + 1 of each (the prefix). Prefix shingles of two or more classes give posting lists:
+n - ceil(t n) + 1 (t the threshold, 0.9 for the query) of each (the prefix). Prefix shingles of two or more classes give posting lists:
 
 - A list of at most SMALL classes gives pairs, under length and position filters. A pair is
   brought together once over all lists, passes a suffix filter (counts of shingles by hash segment
@@ -16,7 +16,7 @@ n - ceil(0.9 n) + 1 of each (the prefix). Prefix shingles of two or more classes
 So no list emits all its pairs, no link is lost, and links are counted exactly.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lowering A-Z. Defined results: a text without words (or null)
-has an empty set, is linked with nothing and is a component of its own; fewer than three words make one
+has an empty set, is linked with nothing and is a component of its own; fewer words than a shingle make one
 shingle; rows with equal texts are linked; rows of one doc_id are rows of their own, and a component
 takes the smallest id; an empty table gives no rows; extra columns are ignored.
 """
@@ -38,30 +38,33 @@ from wavefield.llm.textbytes import IS_SPACE, LOWER, blocks, joined, mixed, word
 N = 3
 #: Texts link when LINK[1] * overlap >= LINK[0] * union.
 LINK = (90, 100)
+#: The pipeline's stage: shingles of five words, Jaccard 0.8.
+STAGE_N, STAGE_LINK = 5, (80, 100)
 ORDER_BITS, SLICES, SEGMENTS = 20, 64, 64
 SMALL, BLOCK = 64, 256
 
-_POWERS = mixed(np.arange(1, N + 2, dtype=np.uint64)) | np.uint64(1)
+#: Factors by place in a shingle, of at most 15 words.
+_POWERS = mixed(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingles(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of a run of texts, and where each text's begin (one more at the end)."""
+def shingles(run: list[bytes], length: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of length words of a run of texts, and where each text's begin (one more at the end)."""
     raw, at = joined(run)
     buf = LOWER[raw]
     starts, _, h = words(buf, IS_SPACE[buf])
     first = np.searchsorted(starts, at)  # first word of each text
     n = np.diff(first)
-    padded = np.concatenate([h, np.zeros(N, np.uint64)])
-    each = sum(padded[i : i + len(h)] * _POWERS[i] for i in range(N)) if len(h) else h
+    padded = np.concatenate([h, np.zeros(length, np.uint64)])
+    each = sum(padded[i : i + len(h)] * _POWERS[i] for i in range(length)) if len(h) else h
     each = mixed(each)
-    count = np.where(n >= N, n - N + 1, np.minimum(n, 1))
+    count = np.where(n >= length, n - length + 1, np.minimum(n, 1))
     begin = np.concatenate([[0], np.cumsum(count)])
     # positions of first words of shingles
     index = np.repeat(first[:-1] - begin[:-1], count) + np.arange(begin[-1])
     out = each[index]
-    for i in np.flatnonzero((n > 0) & (n < N)):
+    for i in np.flatnonzero((n > 0) & (n < length)):
         few = h[first[i] : first[i + 1]] * _POWERS[: n[i]]
-        out[begin[i]] = mixed(few.sum(keepdims=True) + np.array([n[i]], np.uint64) * _POWERS[N])[0]
+        out[begin[i]] = mixed(few.sum(keepdims=True) + np.array([n[i]], np.uint64) * _POWERS[length])[0]
     return out, begin
 
 
@@ -69,7 +72,7 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
-def count_buckets(docs: DataFrame) -> np.ndarray:
+def count_buckets(docs: DataFrame, length: int = N) -> np.ndarray:
     """How often shingles of each bucket occur in all documents: a table of fixed size."""
     width = (1 << ORDER_BITS) // SLICES
 
@@ -77,7 +80,7 @@ def count_buckets(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
             for _, run in blocks(batch.column("text").to_pylist()):
-                total += np.bincount(bucket(shingles(run)[0]), minlength=len(total))
+                total += np.bincount(bucket(shingles(run, length)[0]), minlength=len(total))
         if total.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(SLICES, width)]
             yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
@@ -99,12 +102,12 @@ def count_buckets(docs: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-LINK[0] * n // LINK[1]) + 1
+def prefix_size(n: int, link: tuple[int, int] = LINK) -> int:
+    return n - -(-link[0] * n // link[1]) + 1
 
 
-def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return LINK[1] * overlap >= LINK[0] * (a + b - overlap)
+def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, link: tuple[int, int] = LINK) -> np.ndarray:
+    return link[1] * overlap >= link[0] * (a + b - overlap)
 
 
 def _digest(unique: np.ndarray) -> bytes:
@@ -114,23 +117,23 @@ def _digest(unique: np.ndarray) -> bytes:
     return np.array(two, ">u8").tobytes()
 
 
-def _sets(run: list[bytes]) -> Iterator[np.ndarray]:
-    hashes, at = shingles(run)
+def _sets(run: list[bytes], length: int) -> Iterator[np.ndarray]:
+    hashes, at = shingles(run, length)
     for a, b in zip(at, at[1:], strict=False):
         yield np.unique(hashes[a:b])
 
 
-def _prefixes(order):
+def _prefixes(order, length: int, link: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for batch in batches:
             for first, part in blocks(batch.column("text").to_pylist()):
                 n, cid, prefix, segments = [], [], [], []
-                for s in _sets(part):
+                for s in _sets(part, length):
                     n.append(len(s))
                     segments.append(np.bincount((s >> np.uint64(8)).astype(np.int64) % SEGMENTS, minlength=SEGMENTS).astype(np.uint32).tobytes())
                     cid.append(_digest(s))
-                    keep = np.lexsort((s, counts[bucket(s)]))[: prefix_size(len(s))] if len(s) else []
+                    keep = np.lexsort((s, counts[bucket(s)]))[: prefix_size(len(s), link)] if len(s) else []
                     prefix.append(s[keep].view(np.int64))
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(first, len(part)), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.binary())],
@@ -143,13 +146,13 @@ def _prefixes(order):
 PAYLOAD = "no long, n long, w long, shared array<long>, df array<long>, grams binary"
 
 
-def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _payload(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The sets of candidate classes; a row whose text is not the class's own (an id used twice) goes."""
     for batch in batches:
         cids = batch.column("cid").to_pylist()
         for first, run in blocks(batch.column("text").to_pylist()):
             keep, grams = [], []
-            for i, s in enumerate(_sets(run)):
+            for i, s in enumerate(_sets(run, length)):
                 if _digest(s) == cids[first + i]:
                     keep.append(first + i)
                     grams.append(s.tobytes())
@@ -157,22 +160,22 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*[part.column(c) for c in ("no", "n", "w", "shared", "df")], pa.array(grams, pa.binary())], [x.split()[0] for x in PAYLOAD.split(", ")])
 
 
-def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffix_filter(batches: Iterator[pa.RecordBatch], link: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SEGMENTS) for c in ("segments_x", "segments_y"))
         most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-        able = linked(most, batch.column("n_x").to_numpy(), batch.column("n_y").to_numpy())
+        able = linked(most, batch.column("n_x").to_numpy(), batch.column("n_y").to_numpy(), link)
         yield batch.filter(pa.array(able)).select(["x", "y"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], link: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column("grams_x"), batch.column("grams_y")
         keep = []
         for i in range(batch.num_rows):
             a, b = np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)
             overlap = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(bool(linked(overlap, len(a), len(b))))
+            keep.append(bool(linked(overlap, len(a), len(b), link)))
         yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y", "w_x", "w_y"])
 
 
@@ -196,7 +199,7 @@ def overlaps(sets: list[np.ndarray], columns: int = 4_096) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _cell(key: tuple, group: pa.Table, small: int) -> pa.Table:
+def _cell(key: tuple, group: pa.Table, small: int, limit: tuple[int, int]) -> pa.Table:
     """Links within one pair of blocks of a long list: per class its links' weight, and one link."""
     token = np.int64(key[0].as_py())
     rows = {c: i for i, c in enumerate(group["no"].to_pylist())}  # a class once
@@ -210,7 +213,7 @@ def _cell(key: tuple, group: pa.Table, small: int) -> pa.Table:
         shared, df = np.array(group["shared"][i].as_py(), np.int64), np.array(group["df"][i].as_py(), np.int64)
         at = int(np.flatnonzero(shared == token)[0])
         earlier.append(shared[(df <= small) | (np.arange(len(shared)) < at)].view(np.uint64))
-    link = linked(overlaps(sets), n[:, None], n[None, :]) & (overlaps(earlier) == 0)
+    link = linked(overlaps(sets), n[:, None], n[None, :], limit) & (overlaps(earlier) == 0)
     np.fill_diagonal(link, False)
     if key[1] != key[2]:
         link &= block[:, None] != block[None, :]
@@ -225,12 +228,12 @@ def _cell(key: tuple, group: pa.Table, small: int) -> pa.Table:
     return pa.table([pa.array(no[some]), pa.array(no[root[some]]), pa.array((link @ w)[some].astype(np.int64))], ["x", "y", "weight"])
 
 
-def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (equal sets) and n_links of every row."""
+def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK, length: int = N, link: tuple[int, int] = LINK) -> DataFrame:
+    """Texts whose sets of shingles of length words have a Jaccard of link[0] / link[1] or more: doc_id, n_shingles, component_id, class_id (equal sets) and n_links of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    order = spark.sparkContext.broadcast(count_buckets(docs))
-    each = stored(docs.mapInArrow(_prefixes(order), "doc_id long, n long, cid binary, prefix array<long>, segments binary"), "prefixes")
+    order = spark.sparkContext.broadcast(count_buckets(docs, length))
+    each = stored(docs.mapInArrow(_prefixes(order, length, link), "doc_id long, n long, cid binary, prefix array<long>, segments binary"), "prefixes")
     classes = each.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments"))
     # a number for each class, written down with it: short in every table below
     classes = stored(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
@@ -246,24 +249,24 @@ def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> D
     entry = lists.where(F.col("df") <= small).join(shared.select("no", "n", "hot"), "no")
     x = entry.select("token", *[F.col(c).alias(f"{c}_x") for c in ("no", "n", "pos", "hot")])
     y = entry.select("token", *[F.col(c).alias(f"{c}_y") for c in ("no", "n", "pos", "hot")])
-    lengths = LINK[1] * F.least("n_x", "n_y") >= LINK[0] * F.greatest("n_x", "n_y")
+    lengths = link[1] * F.least("n_x", "n_y") >= link[0] * F.greatest("n_x", "n_y")
     pairs = x.join(y, (x["token"] == y["token"]) & (F.col("no_x") < F.col("no_y")) & lengths)
     # the first of the short-list shingles in common: long-list ones may come before it
     pairs = pairs.groupBy(F.col("no_x").alias("x"), F.col("no_y").alias("y"), "n_x", "n_y", "hot_x", "hot_y").agg(F.min("pos_x").alias("pos_x"), F.min("pos_y").alias("pos_y"))
     most = F.least("hot_x", "hot_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    pairs = pairs.where((LINK[0] + LINK[1]) * most >= LINK[0] * (F.col("n_x") + F.col("n_y"))).select("x", "y", "n_x", "n_y")
+    pairs = pairs.where((link[0] + link[1]) * most >= link[0] * (F.col("n_x") + F.col("n_y"))).select("x", "y", "n_x", "n_y")
     side = lambda df, s, *names: df.select(F.col("no").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names])
     able = pairs.join(side(classes, "x", "segments"), "x").join(side(classes, "y", "segments"), "y")
-    able = stored(able.mapInArrow(_suffix_filter, "x long, y long"), "pairs")
+    able = stored(able.mapInArrow(lambda batches: _suffix_filter(batches, link), "x long, y long"), "pairs")
 
     # the sets of the classes that are still in play
     hot = lists.where(F.col("df") > small)
     wanted = able.select(F.col("x").alias("no")).unionByName(able.select(F.col("y").alias("no"))).unionByName(hot.select("no")).distinct()
     chosen = classes.select("no", "cid", "w", "rep").join(wanted, "no").join(shared.drop("hot"), "no")
     with_text = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["rep"])).select("no", "cid", "n", "w", "shared", "df", "text")
-    payload = stored(with_text.mapInArrow(_payload, PAYLOAD), "sets")
+    payload = stored(with_text.mapInArrow(lambda batches: _payload(batches, length), PAYLOAD), "sets")
 
-    verified = able.join(side(payload, "x", "grams", "w"), "x").join(side(payload, "y", "grams", "w"), "y").mapInArrow(_verify, "x long, y long, w_x long, w_y long")
+    verified = able.join(side(payload, "x", "grams", "w"), "x").join(side(payload, "y", "grams", "w"), "y").mapInArrow(lambda batches: _verify(batches, link), "x long, y long, w_x long, w_y long")
     links = stored(verified.distinct(), "verified")  # repeated rows bring a set twice
 
     # long lists: pairs of blocks
@@ -272,7 +275,7 @@ def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> D
     cells = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("no", "token", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     members = cells.join(payload.select("no", "n", "w", "shared", "df", "grams"), "no")
-    in_cells = stored(members.groupBy("token", "a", "b").applyInArrow(lambda key, group: _cell(key, group, small), "x long, y long, weight long"), "cells")
+    in_cells = stored(members.groupBy("token", "a", "b").applyInArrow(lambda key, group: _cell(key, group, small, link), "x long, y long, weight long"), "cells")
 
     roots = components(links.select("x", "y").unionByName(in_cells.select("x", "y")), "x", "y")
     degree = links.select(F.col("x").alias("no"), F.col("w_y").alias("weight")).unionByName(links.select(F.col("y").alias("no"), F.col("w_x").alias("weight")))
@@ -296,7 +299,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each group of linked documents the one with the smallest id stays; rows of
     one id (null ids too) stay or go together."""
-    keep = link_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id_")).distinct()
+    keep = link_documents(docs, length=STAGE_N, link=STAGE_LINK).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id_")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id_")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -2,28 +2,35 @@
 
 Lines are normalised: letters lowered, digits to 0, ASCII punctuation and white space to single blanks.
 Lines of equal normal form are one class. A class of MIN_WORDS words or more has a 64-bit SimHash of
-its words, weighed by length and cut into five blocks; with at most three differing bits two whole blocks agree, so classes
-are brought together on each of the ten pairs of blocks (26 bits wide, so that chance meetings stay
-rare). One changed word of a short line can turn far more bits, so classes also meet on parts of
-their words (`text_keys`): lines of up to DROP_WORDS words on what is left without any one word (of up to
-DROP_TWO_WORDS, without any two), longer ones on their first and last halves, and all of more than
-DROP_TWO_WORDS on the least of their shingles under HASHES orders. Lines that differ in one place (a word changed, added, lost, and from DROP_WORDS words on split) always meet.
-Two classes that meet link if the edit similarity of the normal forms, 1 - distance / longer length, is
-MIN_SIMILARITY or more, however many bits differ. Of each connected group of classes one occurrence is
-kept, the first by doc_id and line number.
-
-A key that SMALL classes or fewer share gives pairs; a key of more is cut into blocks of about BLOCK
-classes, and each pair of blocks is one task's group that carries the texts, verifies what is not yet
-connected in it and gives a spanning forest. Both ways see every candidate pair of the key.
+its words, weighed by length and cut into four blocks; with at most two differing bits two whole blocks
+agree, so classes are brought together on each of the six pairs of blocks (32 bits wide, so that chance
+meetings stay rare). The pigeonhole is also applied to the line itself (`text_keys`): a changed word
+leaves a half of the line as it was, and its first and last halves are keys; lines of at most DROP_WORDS
+words meet on what is left without any one word, those of fewer than MIN_WORDS words on halves of
+their characters, and longer ones on the least of their shingles under HASHES orders, which meets in spite
+of many changed words.
+
+Two classes that share a key are a candidate if their lengths allow the similarity and, from HAMMING_WORDS
+words on, their SimHashes differ in at most MAX_BITS bits; they link if the edit similarity of the normal
+forms, 1 - distance / longer length, is MIN_SIMILARITY or more. Of each connected group of classes one
+occurrence is kept, the first by doc_id, line number and text.
+
+Every key's classes are first compared with the key's smallest class only, which costs as many pairs
+as there are entries and connects groups of copies. Only keys whose classes are not all connected then are
+looked at in full: one of at most SMALL classes gives its pairs, one of more is cut into blocks of
+about BLOCK classes, and each pair of blocks is one task's group, which compares SimHashes all at once,
+verifies what is not yet connected and gives a spanning forest. All candidates of a key that could join
+two groups are verified.
 
 Defined results: lines without a word in their normal form are no lines here and always stay; a null
-or empty text has none; line numbers count from 0; rows of one doc_id count as one document (an equal
-line of equal number is one occurrence); shorter lines match by normal form only; an empty table gives
-no rows; extra columns are ignored, or carried through by `remove_lines`.
+or empty text has none; line numbers count from 0; rows of one doc_id and one text count as one document (an
+equal line of equal number is one occurrence), rows of one doc_id and different texts are documents of their
+own; an empty table gives no rows; extra columns are ignored, or carried through by `remove_lines`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections import Counter
@@ -39,14 +46,15 @@ from wavefield.llm.common import stored, table
 from wavefield.llm.graph import components
 from wavefield.llm.textbytes import blocks, joined, mixed, words
 
-#: Any two SimHashes may link: edit similarity alone decides about classes that met.
-MIN_WORDS, MAX_BITS, MIN_SIMILARITY = 5, 64, 0.8
-DROP_TWO_WORDS, DROP_WORDS, SHINGLE, HASHES = 9, 12, 4, 4
+MIN_WORDS, MAX_BITS, MIN_SIMILARITY = 5, 20, 0.8
+#: Words from which on the SimHashes of near copies are near, for lines of average words.
+HAMMING_WORDS = 9
+DROP_WORDS, SHINGLE, HASHES = 8, 4, 4
 MAX_WEIGHT = 14
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK = 16, 512
 #: First bit and width of the SimHash's blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-LINES = "doc_id long, line_no int, line_id long, simhash long, n_words int, size int, parts array<int>"
+BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
+LINES = "doc_id long, text_id long, line_no int, line_id long, simhash long, n_words int, size int, parts array<long>"
 
 #: Normal form by byte: letters lowered, digits 0, other ASCII (line feeds too) a blank.
 _NORMAL = np.full(256, 0x20, np.uint8)
@@ -90,11 +98,11 @@ _BASE = 0x9E3779B97F4A7C15
 _ORDERS = mixed(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 
 
-def text_keys(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.ListArray:
-    """For each line the 32-bit hashes of parts of its words on which near copies meet: each line of up to
-    DROP_WORDS words without one of them, and whole; from DROP_WORDS - 1 words on the first and last halves,
-    with and without the middle; up to DROP_TWO_WORDS words also without two, beyond on the least shingles.
-    h: hashes of all words."""
+def text_keys(h: np.ndarray, first: np.ndarray, n: np.ndarray, forms: dict[int, bytes]) -> pa.ListArray:
+    """For each line the hashes of parts of it on which near copies meet: lines of MIN_WORDS to DROP_WORDS
+    words without one of them, and whole; from DROP_WORDS words on the first and last halves, with
+    and without the middle; beyond, the least shingles too. h: hashes of all words; forms: the normal forms
+    of shorter lines, which meet on halves of their characters."""
     most = int(n.max(initial=1)) + 1
     power, back = (np.cumprod(np.array([1, *[x] * most], np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
     place = np.arange(len(h)) - np.repeat(first, n)
@@ -104,7 +112,7 @@ def text_keys(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.ListArray:
 
     def add(owner: np.ndarray, value: np.ndarray, kind: int) -> None:
         owners.append(owner)
-        found.append(mixed(value + np.uint64(kind)).astype(np.uint32))
+        found.append(mixed(value + np.uint64(kind)))
 
     line = np.repeat(np.arange(len(n)), n)
     short = (n >= MIN_WORDS) & (n <= DROP_WORDS)
@@ -113,88 +121,115 @@ def text_keys(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.ListArray:
     add(mine, sums[at] - sums[first[mine]] + (sums[first[mine] + n[mine]] - sums[at + 1]) * back[1], 1)
     mine = np.flatnonzero(short)
     add(mine, sums[first[mine] + n[mine]] - sums[first[mine]], 1)
-    for i, j in itertools.combinations(range(DROP_TWO_WORDS), 2):
-        mine = np.flatnonzero((n >= MIN_WORDS) & (n <= DROP_TWO_WORDS) & (n > j))
-        a, m = first[mine], n[mine]
-        add(mine, sums[a + i] - sums[a] + (sums[a + j] - sums[a + i + 1]) * back[1] + (sums[a + m] - sums[a + j + 1]) * back[2], 1)
-    for both, half in ((n >= DROP_WORDS - 1, n // 2), ((n >= DROP_WORDS - 1) & (n % 2 == 0), (n - 1) // 2)):
+    for both, half in ((n >= DROP_WORDS, n // 2), ((n >= DROP_WORDS) & (n % 2 == 0), (n - 1) // 2)):
         mine = np.flatnonzero(both)
         a, k, m = first[mine], half[mine], n[mine]
         add(mine, sums[a + k] - sums[a], 2)
         add(mine, (sums[a + m] - sums[a + m - k]) * back[m - k], 3)
-    mine = np.flatnonzero(n > DROP_TWO_WORDS)
+    mine = np.flatnonzero(n > DROP_WORDS)
     if len(mine):
-        at = np.flatnonzero((n[line] > DROP_TWO_WORDS) & (place + SHINGLE <= n[line]))
+        at = np.flatnonzero((n[line] > DROP_WORDS) & (place + SHINGLE <= n[line]))
         each, begin = mixed((sums[at + SHINGLE] - sums[at]) * back[place[at]]), np.flatnonzero(np.diff(line[at], prepend=-1))
         for i, factor in enumerate(_ORDERS):
             add(mine, np.minimum.reduceat(each * factor, begin), 4 + i)
+    few = [(i, x) for i, form in forms.items() for x in _halves(form)]
+    add(np.array([i for i, _ in few], np.int64), np.array([x for _, x in few], np.uint64), 4 + HASHES)
     owner, value = np.concatenate(owners), np.concatenate(found)
     by = np.argsort(owner, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(value[by].view(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(value[by].view(np.int64)))
+
+
+def _halves(form: bytes) -> set[int]:
+    """Hashes of a short line's first and last halves of characters, with and without the middle."""
+    text = form.decode("utf-8", "replace")
+    halves = {part for k in {len(text) // 2, (len(text) - 1) // 2} if k > 1 for part in (f"a{text[:k]}", f"z{text[-k:]}")}
+    return {int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in halves}
+
+
+class _Scan:
+    """The lines with a word in a run of texts: where their words lie, text and line numbers, ids."""
+
+    def __init__(self, run: list[bytes]) -> None:
+        raw, at = joined(run)
+        self.buf = _NORMAL[raw]
+        feeds = np.flatnonzero(raw == 10)
+        self.starts, self.ends, self.h = words(self.buf, _BLANK[self.buf])
+        line = np.searchsorted(feeds, self.starts)
+        self.first = np.flatnonzero(np.diff(line, prepend=-1))
+        self.n = np.diff(np.append(self.first, len(line)))
+        mine = line[self.first]
+        first_line = np.searchsorted(feeds, at)[:-1]
+        self.text = np.searchsorted(first_line, mine, side="right") - 1
+        self.number = mine - first_line[self.text]
+        place = np.arange(len(line)) - np.repeat(self.first, self.n)
+        sums = np.add.reduceat(self.h * (mixed(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), self.first) if len(line) else self.h
+        self.ids = mixed(sums + self.n.astype(np.uint64)).view(np.int64)
+
+    def simhash(self) -> np.ndarray:
+        if not len(self.n):
+            return np.zeros(0, np.int64)
+        # a word weighs by its length: short ones are in every line and would make all lines alike
+        weight = np.clip(self.ends - self.starts - 2, 1, MAX_WEIGHT).astype(np.uint8)
+        total = np.add.reduceat(weight, self.first, dtype=np.int64)
+        bits = 2 * _bit_sums(self.h, weight, self.first, self.n) > total[:, None]
+        return np.packbits(bits, axis=1).reshape(-1, 8).copy().view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+    def size(self) -> np.ndarray:
+        """Characters of the normal forms."""
+        if not len(self.n):
+            return self.n
+        letters = np.concatenate([[0], np.cumsum((self.buf & 0xC0) != 0x80)])
+        return np.add.reduceat(letters[self.ends] - letters[self.starts], self.first) + self.n - 1
+
+    def keys(self) -> pa.ListArray:
+        if not len(self.n):
+            return pa.array([], pa.list_(pa.int64()))
+        data, forms = self.buf.tobytes(), {}
+        for i in np.flatnonzero(self.n < MIN_WORDS):
+            at = range(self.first[i], self.first[i] + self.n[i])
+            forms[i] = b" ".join(data[self.starts[k] : self.ends[k]] for k in at)
+        return text_keys(self.h, self.first, self.n, forms)
 
 
 def line_table(run: list[bytes]) -> tuple[np.ndarray, ...]:
     """Text number, line number, id, SimHash and word count of the lines with a word."""
-    return _line_parts(run)[:5]
-
-
-def _line_parts(run: list[bytes]) -> tuple:
-    """The columns of line_table, characters of the normal form and text_keys."""
-    raw, at = joined(run)
-    buf = _NORMAL[raw]
-    feeds = np.flatnonzero(raw == 10)
-    starts, ends, h = words(buf, _BLANK[buf])
-    if not len(starts):
-        return *(np.zeros(0, np.int64) for _ in range(6)), pa.array([], pa.list_(pa.int32()))
-    line = np.searchsorted(feeds, starts)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    n = np.diff(np.append(first, len(line)))
-    place = np.arange(len(line)) - np.repeat(first, n)
-    ids = mixed(np.add.reduceat(h * (mixed(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), first) + n.astype(np.uint64))
-    # a word weighs by its length: short ones are in every line and would make all lines alike
-    weight = np.clip(ends - starts - 2, 1, MAX_WEIGHT).astype(np.uint8)
-    total = np.add.reduceat(weight, first, dtype=np.int64)
-    simhash = np.packbits(2 * _bit_sums(h, weight, first, n) > total[:, None], axis=1).reshape(-1, 8).copy().view(">u8").ravel().astype(np.uint64)
-    mine = line[first]
-    first_line = np.searchsorted(feeds, at)[:-1]
-    text = np.searchsorted(first_line, mine, side="right") - 1
-    letters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    size = np.add.reduceat(letters[ends] - letters[starts], first) + n - 1
-    return text, mine - first_line[text], ids.view(np.int64), simhash.view(np.int64), n, size, text_keys(h, first, n)
+    scan = _Scan(run)
+    return scan.text, scan.number, scan.ids, scan.simhash(), scan.n
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, run in blocks(_lowered(batch.column("text"))):
-            text, number, ids, simhash, n, size, parts = _line_parts(run)
-            doc_id = batch.column("doc_id").take(pa.array(text + first))
+            scan = _Scan(run)
+            mine = pa.array(scan.text + first)
             yield pa.record_batch(
-                [doc_id, pa.array(number, pa.int32()), pa.array(ids), pa.array(simhash), pa.array(n, pa.int32()), pa.array(size, pa.int32()), parts],
-                ["doc_id", "line_no", "line_id", "simhash", "n_words", "size", "parts"],
-            )
+                [batch.column("doc_id").take(mine), batch.column("text_id").take(mine), pa.array(scan.number, pa.int32()), pa.array(scan.ids), pa.array(scan.simhash()),
+                 pa.array(scan.n, pa.int32()), pa.array(scan.size(), pa.int32()), scan.keys()],
+                [x.split()[0] for x in LINES.split(", ")],
+            )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normal forms of wanted lines; a line that is not the wanted one (a doc_id used twice) goes."""
+    """Normal forms of wanted lines; a line that is not the wanted one (texts of one hash) goes."""
     table_of = _NORMAL.tobytes()
     for batch in batches:
         wanted = batch.column("wanted").to_pylist()
         for first, run in blocks(_lowered(batch.column("text"))):
-            ids, forms = [], []
+            numbers, ids, forms = [], [], []
             for i, data in enumerate(run):
                 lines = data.split(b"\n")
                 for x in wanted[first + i]:
                     if x["line_no"] < len(lines):
+                        numbers.append(x["no"])
                         ids.append(x["line_id"])
                         forms.append(b" ".join(filter(None, lines[x["line_no"]].translate(table_of).split(b" "))))
             found = np.zeros(len(forms), np.int64)
             if forms:
-                text, _, line_ids, _, _ = line_table(forms)
-                found[text] = line_ids
+                scan = _Scan(forms)
+                found[scan.text] = scan.ids
             same = [i for i in range(len(forms)) if found[i] == ids[i]]
-            ids, forms = [ids[i] for i in same], [forms[i].decode("utf-8", "replace") for i in same]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], ["line_id", "form"])
+            yield pa.record_batch([pa.array([numbers[i] for i in same], pa.int64()), pa.array([forms[i].decode("utf-8", "replace") for i in same], pa.string())], ["no", "form"])
 
 
 def edit_distance(a: str, b: str, limit: int) -> int:
@@ -248,86 +283,141 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cell(key: tuple, group: pa.Table) -> pa.Table:
-    """A spanning forest of the links within one pair of blocks of a hot key."""
-    group = group.group_by("line_id").aggregate([("form", "min")]).sort_by("line_id")
-    ids, forms = group["line_id"].to_pylist(), group["form_min"].to_pylist()
-    size = np.array([len(x) for x in forms])
-    # bounds of the distance: lengths, and characters (64 kinds) that one has and the other lacks
+    """A spanning forest of the links within one pair of blocks of a hot key, between classes that are not
+    connected yet. The key's smallest class has met all others before."""
+    rows = {c: i for i, c in enumerate(group["no"].to_pylist())}  # a class once
+    at = [rows[c] for c in sorted(rows) if c != group["anchor"][rows[c]].as_py()]
+    no, comp, bits, n, block = (group[c].to_numpy()[at] for c in ("no", "comp", "simhash", "n_words", "block"))
+    bits, forms = bits.view(np.uint64), [group["form"][i].as_py() for i in at]
+    size = np.array([len(x) for x in forms], np.int64)
+    # characters (64 kinds) that one has and the other lacks bound the distance
     count = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64) for x in forms]).reshape(-1, 64)
-    root, found = np.arange(len(ids)), []
-    for i in range(len(ids)):
+    _, root = np.unique(comp, return_inverse=True)
+    found = []
+    for i in range(len(at)):
+        differ = np.bitwise_count(bits[:i] ^ bits[i])
         limit = ((1 - MIN_SIMILARITY) * np.maximum(size[:i], size[i]) + 1e-9).astype(np.int64)
-        able = np.flatnonzero(np.abs(size[:i] - size[i]) <= limit)
+        able = (root[:i] != root[i]) & (np.abs(size[:i] - size[i]) <= limit) & ((differ <= MAX_BITS) | (np.minimum(n[:i], n[i]) < HAMMING_WORDS))
+        if key[1] != key[2]:
+            able &= block[:i] != block[i]
+        able = np.flatnonzero(able)
         more = count[able] - count[i]
-        least = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        able = able[np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= limit[able]]
         # the likeliest first: a link spares the others of its group
-        near = np.flatnonzero(least <= limit[able])
-        for j in able[near[np.argsort(least[near], kind="stable")]]:
+        for j in able[np.argsort(differ[able], kind="stable")]:
             if root[i] != root[j] and similar(forms[i], forms[j]):
-                found.append((ids[j], ids[i]))
+                found.append((no[j], no[i]))
                 root[root == root[i]] = root[j]
     return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["x", "y"])
 
 
-def _keys(simhash: Column, parts: Column | None) -> Column:
+def _keys(n_words: Column, simhash: Column, parts: Column | None) -> Column:
     part = lambda k: F.shiftrightunsigned(simhash, BLOCKS[k][0]).bitwiseAND((1 << BLOCKS[k][1]) - 1)
-    bits = F.array(*[F.lit(i << 26).cast("long") + part(a) * (1 << BLOCKS[b][1]) + part(b) for i, (a, b) in enumerate(itertools.combinations(range(5), 2))])
-    return bits if parts is None else F.concat(bits, F.transform(F.array_distinct(parts), lambda x: x.cast("long") - (1 << 40)))
+    pairs = enumerate(itertools.combinations(range(len(BLOCKS)), 2))
+    bits = F.array(*[F.lit(i << 40).cast("long") + part(a) * (1 << BLOCKS[b][1]) + part(b) for i, (a, b) in pairs])
+    bits = F.when(n_words >= MIN_WORDS, bits).otherwise(F.array().cast("array<long>"))
+    return bits if parts is None else F.concat(bits, F.array_distinct(parts))
+
+
+def _near(x: str = "_x", y: str = "_y") -> Column:
+    """Whether two classes are a candidate: lengths, and SimHashes of lines of enough words."""
+    a, b = F.col(f"size{x}"), F.col(f"size{y}")
+    lengths = F.least(a, b) >= MIN_SIMILARITY * F.greatest(a, b) - 1e-6
+    bits = F.bit_count(F.col(f"simhash{x}").bitwiseXOR(F.col(f"simhash{y}"))) <= MAX_BITS
+    return lengths & (bits | (F.least(f"n_words{x}", f"n_words{y}") < HAMMING_WORDS))
+
+
+def _side(df: DataFrame, side: str, *names: str) -> DataFrame:
+    return df.select("key", F.col("no").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names])
+
+
+def _forms(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """no and form of the classes in lists, from the text that each was first seen in."""
+    places = classes.select("no", "line_id", "first.*").join(lists.select("no").distinct(), "no")
+    by_text = places.groupBy(F.col("doc_id").alias("id_"), F.col("text_id").alias("text_id_")).agg(F.collect_list(F.struct("line_no", "line_id", "no")).alias("wanted"))
+    there = docs["doc_id"].eqNullSafe(F.col("id_")) & (docs["text_id"] == F.col("text_id_"))
+    found = docs.join(by_text, there).select("text", "wanted").mapInArrow(_texts, "no long, form string")
+    return stored(found, "forms").dropDuplicates(["no"])
+
+
+def _verified(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    side = lambda s: forms.select(F.col("no").alias(s), F.col("form").alias(f"form_{s}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_verify, "x long, y long")
+
+
+def _class_roots(docs: DataFrame, classes: DataFrame, small: int, block: int, word_parts: bool) -> DataFrame:
+    """no and root of the classes that are connected to another one."""
+    facts = ["simhash", "n_words", "size"]
+    entries = classes.select("no", F.explode(_keys(F.col("n_words"), F.col("simhash"), F.col("parts") if word_parts else None)).alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("df"), F.min("no").alias("anchor")).where("df > 1")
+    lists = stored(entries.join(shared, "key").join(classes.select("no", *facts), "no"), "keys")
+    forms = _forms(docs, classes, lists)
+
+    # every class with the smallest one of its key
+    anchors = _side(lists.where(F.col("no") == F.col("anchor")), "y", *facts)
+    stars = _side(lists.where(F.col("no") != F.col("anchor")), "x", *facts).join(anchors, "key").where(_near()).select("x", "y").distinct()
+    first_links = _verified(stored(stars, "stars"), forms)
+    roots = stored(components(first_links, "x", "y"), "roots")
+
+    # keys whose classes are not all connected
+    placed = lists.join(roots.withColumnRenamed("id", "no"), "no", "left").withColumn("comp", F.coalesce("root", "no")).drop("root")
+    apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    still = stored(placed.join(apart, "key"), "open")
+    few = still.where((F.col("df") <= small) & (F.col("no") != F.col("anchor")))
+    x, y = _side(few, "x", "comp", *facts), _side(few, "y", "comp", *facts)
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.col("comp_x") != F.col("comp_y")) & _near())
+    pairs = stored(pairs.select("x", "y").distinct(), "pairs")
+
+    hot = still.where(F.col("df") > small).withColumn("blocks", F.ceil(F.col("df") / block).cast("int"))
+    hot = hot.withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = hot.select("key", "no", "anchor", "comp", *facts, "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(forms, "no")
+    in_cells = cells.groupBy("key", "a", "b").applyInArrow(_cell, "x long, y long")
+    links = stored(_verified(pairs, forms).unionByName(in_cells), "links")
+
+    # what joins groups of the first step
+    comp = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))
+    bridges = links.join(comp("x"), "x", "left").join(comp("y"), "y", "left").select(F.coalesce("root_x", "x").alias("x"), F.coalesce("root_y", "y").alias("y"))
+    over = components(bridges, "x", "y").select(F.col("id").alias("root"), F.col("root").alias("top"))
+    every = roots.unionByName(over.select(F.col("root").alias("id"), "root").join(roots.select("id"), "id", "left_anti"))
+    return every.join(over, "root", "left").select(F.col("id").alias("no"), F.coalesce("top", "root").alias("root"))
 
 
 def line_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK, word_parts: bool = False) -> DataFrame:
-    """doc_id, line_no, line_id, group_id and kept of every line with a word. With word_parts, as in the
+    """doc_id, text_id, line_no, line_id, group_id and kept of every line with a word. With word_parts, as in the
     query and the stage, lines also meet on text_keys; without, on SimHash blocks only."""
-    docs = docs.select("doc_id", "text")
+    docs = _identified(docs.select("doc_id", "text"))
     lines = stored(docs.mapInArrow(_lines, LINES), "lines")
     classes = lines.groupBy("line_id").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("n_words").alias("n_words"),
+        F.min(F.struct("doc_id", "line_no", "text_id")).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("n_words").alias("n_words"),
         F.min("size").alias("size"), F.first("parts").alias("parts"),
     )
     # a number for each class, written down with it: shorter than the ids where the keys are dealt out
     classes = stored(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
-    entries = classes.where(F.col("n_words") >= MIN_WORDS).select("no", F.explode(_keys(F.col("simhash"), F.col("parts") if word_parts else None)).alias("key"))
-    frequent = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    met = entries.join(frequent, "key")
-    lists = stored(met.join(classes.select("no", "line_id", "size"), "no").drop("no"), "keys")
-
-    x = lists.where(F.col("df") <= small).select("key", F.col("line_id").alias("x"), F.col("size").alias("size_x"))
-    y = lists.where(F.col("df") <= small).select("key", F.col("line_id").alias("y"), F.col("size").alias("size_y"))
-    # lengths too far apart for MIN_SIMILARITY: the texts need not be looked at
-    near = F.least("size_x", "size_y") >= MIN_SIMILARITY * F.greatest("size_x", "size_y") - 1e-6
-    pairs = stored(x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & near).select("x", "y").distinct(), "pairs")
-    number = F.ceil(F.col("df") / block).cast("int")
-    hot = lists.where(F.col("df") > small).withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int"))
-
-    wanted = pairs.select(F.col("x").alias("line_id")).unionByName(pairs.select(F.col("y").alias("line_id"))).unionByName(hot.select("line_id")).distinct()
-    places = classes.select("line_id", "first.doc_id", "first.line_no").join(wanted, "line_id")
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id")).alias("wanted"))
-    with_text = docs.join(by_doc.withColumnRenamed("doc_id", "wanted_id"), docs["doc_id"].eqNullSafe(F.col("wanted_id"))).select("text", "wanted")
-    forms = stored(with_text.mapInArrow(_texts, "line_id long, form string"), "forms").dropDuplicates(["line_id"])
-
-    side = lambda s: forms.select(F.col("line_id").alias(s), F.col("form").alias(f"form_{s}"))
-    links = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_verify, "x long, y long")
-    cells = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("line_id", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(forms, "line_id")
-    in_cells = cells.groupBy("key", "a", "b").applyInArrow(_cell, "x long, y long")
-    roots = components(links.unionByName(in_cells), "x", "y")
+    roots = _class_roots(docs, classes, small, block, word_parts)
 
     # groups of more than one line: repeated classes and connected ones
-    members = classes.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").where((F.col("n") > 1) | F.col("root").isNotNull())
-    members = members.withColumn("group_id", F.coalesce("root", "line_id"))
+    members = classes.select("no", "line_id", "first", "n").join(roots, "no", "left").where((F.col("n") > 1) | F.col("root").isNotNull())
+    members = members.select("line_id", "first", F.coalesce("root", "no").alias("root"))
     # written down, so that a group with very many classes can be split in the join below
-    firsts = stored(members.groupBy("group_id").agg(F.min("first").alias("kept_at")), "firsts")
-    known = stored(members.select("line_id", "group_id").join(firsts, "group_id"), "groups")
-    rows = lines.select("doc_id", "line_no", "line_id").join(known, "line_id", "left")
-    here = F.struct("doc_id", "line_no")
-    return rows.select("doc_id", "line_no", "line_id", F.coalesce("group_id", "line_id").alias("group_id"), (F.col("kept_at").isNull() | (here == F.col("kept_at"))).alias("kept"))
+    firsts = stored(members.groupBy("root").agg(F.min("line_id").alias("group_id"), F.min("first").alias("kept_at")), "firsts")
+    known = stored(members.select("line_id", "root").join(firsts, "root").drop("root"), "groups")
+    rows = lines.select("doc_id", "text_id", "line_no", "line_id").join(known, "line_id", "left")
+    here = F.struct("doc_id", "line_no", "text_id")
+    kept = F.col("kept_at").isNull() | (here == F.col("kept_at"))
+    return rows.select("doc_id", "text_id", "line_no", "line_id", F.coalesce("group_id", "line_id").alias("group_id"), kept.alias("kept"))
+
+
+def _identified(docs: DataFrame, name: str = "text_id") -> DataFrame:
+    """docs with a hash of the text, which tells rows of one doc_id apart."""
+    return docs.withColumn(name, F.xxhash64("text"))
 
 
 def remove_lines(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs without the lines that are not kept; a document that thereby loses its last line with a
     word goes. n_chars, where there is such a column, is counted anew."""
-    gone = groups.where(~F.col("kept")).groupBy(F.col("doc_id").alias("gone_id_")).agg(F.collect_set("line_no").alias("gone_"))
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id_")), "left").drop("gone_id_")
+    gone = groups.where(~F.col("kept")).groupBy(F.col("doc_id").alias("gone_id_"), F.col("text_id").alias("gone_text_")).agg(F.collect_set("line_no").alias("gone_"))
+    known = _identified(docs, "text_id_")
+    both = known.join(gone, known["doc_id"].eqNullSafe(F.col("gone_id_")) & (known["text_id_"] == F.col("gone_text_")), "left").drop("gone_id_", "gone_text_", "text_id_")
     columns, counted = docs.columns, "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from wavefield.llm import line_dedup
 
@@ -73,3 +74,14 @@ def test_very_long_lines(spark):
     rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words)))]
     got = {r["doc_id"]: r["kept"] for r in line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string"), word_parts=True).collect()}
     assert got == {1: True, 2: False, 3: True}
+
+
+def test_repeated_keys_over_batches():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        key = np.sort(rng.integers(0, 30, rng.integers(1, 40)))
+        cuts = np.sort(rng.integers(0, len(key), 4))
+        batches = [pa.record_batch([pa.array(np.arange(a, b)), pa.array(key[a:b])], ["no", "key"]) for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True)]
+        got = [x for batch in line_dedup._repeated(iter(batches)) for x in batch.column("no").to_pylist()]
+        assert got == [i for i in range(len(key)) if i in (0, len(key) - 1) or (key == key[i]).sum() > 1]
+    assert not list(line_dedup._repeated(iter([])))

@@ -327,6 +327,21 @@ def _near(x: str = "_x", y: str = "_y") -> Column:
     return lengths & (bits | (F.least(f"n_words{x}", f"n_words{y}") < HAMMING_WORDS))
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key those whose key comes again, and the task's first and last row, whose key may
+    go on in another task."""
+    no, key, known = np.zeros(0, np.int64), np.zeros(0, np.int64), True  # the last row, and whether it is wanted
+    for batch in batches:
+        if batch.num_rows:
+            no, key = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((no, "no"), (key, "key")))
+            same = key[1:] == key[:-1]
+            wanted = np.append(same, False) | np.append(known, same)
+            yield pa.record_batch([pa.array(x[:-1][wanted[:-1]]) for x in (no, key)], ["no", "key"])
+            no, key, known = no[-1:], key[-1:], wanted[-1]
+    if len(no):
+        yield pa.record_batch([pa.array(no), pa.array(key)], ["no", "key"])
+
+
 def _side(df: DataFrame, side: str, *names: str) -> DataFrame:
     return df.select("key", F.col("no").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names])
 
@@ -349,8 +364,11 @@ def _class_roots(docs: DataFrame, classes: DataFrame, small: int, block: int, wo
     """no and root of the classes that are connected to another one."""
     facts = ["simhash", "n_words", "size"]
     entries = classes.select("no", F.explode(_keys(F.col("n_words"), F.col("simhash"), F.col("parts") if word_parts else None)).alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("df"), F.min("no").alias("anchor")).where("df > 1")
-    lists = stored(entries.join(shared, "key").join(classes.select("no", *facts), "no"), "keys")
+    # most keys have one class and go in a single pass; ranges of (key, no) part even a key of very many classes
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stored(entries.repartitionByRange(parts, "key", "no").sortWithinPartitions("key", "no").mapInArrow(_repeated, "no long, key long"), "met")
+    shared = met.groupBy("key").agg(F.count("*").alias("df"), F.min("no").alias("anchor")).where("df > 1")
+    lists = stored(met.join(shared, "key").join(classes.select("no", *facts), "no"), "keys")
     forms = _forms(docs, classes, lists)
 
     # every class with the smallest one of its key

@@ -115,7 +115,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: rejected documents go, failing lines of the others too."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return clean_documents(rows).where("kept").select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    # a filter on a generated column stays above it: the lines are judged once, not once more to filter
+    judged = clean_documents(rows).select("row", F.explode(F.array(F.struct("clean_text", "kept"))).alias("judged")).where("judged.kept")
+    return judged.select("row", "judged.clean_text").select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _sql_count(text: str, pattern: str) -> str:

@@ -1,10 +1,12 @@
 """Exact top-k search by integer inner product (operator 5): MaxScore.
 
-Components are the query's terms; a term's posting list in a shard is the column of that component,
-its bound the most it can add to a score there (from the column's largest and smallest value). With
-the k-th best score so far as threshold, the terms whose bounds together cannot reach it are
-non-essential: only the other lists are traversed for all candidates, and non-essential terms are
-probed, largest bound first, for the candidates that can still compete. Results of shards are merged.
+Components are the query's terms. A shard's candidates are dealt to chunks of similar vectors (the
+same nearest pivot); a term's posting list in a chunk is the column of that component, its bound the most
+it can add to a score there, from the column's largest and smallest value. A query goes to the chunks
+in falling order of the sum of its bounds. With the k-th best score so far as threshold, the terms whose bounds together
+cannot reach it are non-essential: only the other lists are traversed for all candidates of the chunk, and
+non-essential lists are probed one by one, largest bound first, for the candidates that can still
+compete. From the first chunk whose bounds cannot reach the threshold at all, none is opened. Results of shards are merged.
 
 The stated query set meets all rows in blocks: candidates are dealt to shards by hash, queries to
 blocks of QUERY_BLOCK, and each (block, shard) pair is one task's group of bounded size.
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from wavefield.llm.common import table
 
 K, SCALE, EVERY = 10, 1024, 100
-#: Candidates in a shard and queries in a block, about; rows of a shard searched at a time.
-SHARD, QUERY_BLOCK, CHUNK = 16_384, 8_192, 2_048
+#: Candidates in a shard and queries in a block, about; candidates in a chunk at most, and on average.
+SHARD, QUERY_BLOCK, CHUNK, NEAR = 16_384, 8_192, 512, 64
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -65,32 +67,63 @@ class TopK:
         self.scores, self.ids = scores[best], ids[best]
 
 
-def search(query: np.ndarray, query_id: int, ids: np.ndarray, postings: np.ndarray, bounds: np.ndarray, top: TopK) -> None:
-    """Adds to top what a chunk of candidates has. postings: one row per term; bounds: the most that
-    each term adds to a score in this chunk."""
+class Chunk:
+    """Candidates with their posting lists (one row per term) and the ends of each list's values."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.postings = ids, np.ascontiguousarray(vectors.T)
+        self.high, self.low = self.postings.max(axis=1), self.postings.min(axis=1)
+
+
+def chunks(ids: np.ndarray, vectors: np.ndarray, size: int = CHUNK, near: int = NEAR) -> list[Chunk]:
+    """The candidates by nearest pivot (every near-th one is a pivot), in parts of at most size rows."""
+    pivots = vectors[::near].astype(np.float64)
+    middle = (pivots * pivots).sum(axis=1) / 2
+    nearest = np.concatenate([np.argmax(vectors[at : at + 1_024] @ pivots.T - middle, axis=1) for at in range(0, len(ids), 1_024)])
+    order = np.argsort(nearest, kind="stable")
+    ends = np.flatnonzero(np.diff(nearest[order])) + 1
+    groups = np.split(order, ends)
+    return [Chunk(ids[g[at : at + size]], vectors[g[at : at + size]]) for g in groups for at in range(0, len(g), size)]
+
+
+def search(query: np.ndarray, query_id: int, chunk: Chunk, bounds: np.ndarray, top: TopK) -> int:
+    """Adds to top what a chunk has; gives the number of products. bounds: the most that each term adds
+    to a score in this chunk."""
     order = np.argsort(-bounds, kind="stable")
     left = np.concatenate([[0], np.cumsum(bounds[order][::-1])])[::-1]  # left[i]: bound of order[i:]
     threshold = top.threshold()
     # essential: as many terms as it takes for the rest to stay below the threshold
-    essential = len(order) if threshold is None else int(np.argmax(left < threshold)) if (left < threshold).any() else len(order)
-    scores = query[order[:essential]] @ postings[order[:essential]]
-    alive = np.flatnonzero(ids != query_id)
-    scores = scores[alive]
+    below = np.flatnonzero(left < threshold) if threshold is not None else []
+    essential = int(below[0]) if len(below) else len(order)
+    if not essential:
+        return 0
+    alive = np.flatnonzero(chunk.ids != query_id)
+    scores = (query[order[:essential]] @ chunk.postings[order[:essential]])[alive]
+    products = essential * len(chunk.ids)
     for i in range(essential, len(order)):
         able = scores + left[i] >= threshold
         if not able.all():
             alive, scores = alive[able], scores[able]
-        if not len(alive):
-            return
-        if len(alive) * 4 > postings.shape[1]:  # still many: a few lists at once
-            some = order[i:]
-            scores = scores + query[some] @ postings[np.ix_(some, alive)]
-            break
-        scores = scores + query[order[i]] * postings[order[i], alive]
+            if not len(alive):
+                return products
+        scores = scores + query[order[i]] * chunk.postings[order[i], alive]
+        products += len(alive)
     if threshold is not None:
         able = scores >= threshold
         alive, scores = alive[able], scores[able]
-    top.add(scores.astype(np.int64), ids[alive])
+    top.add(scores.astype(np.int64), chunk.ids[alive])
+    return products
+
+
+def search_all(query: np.ndarray, query_id: int, parts: list[Chunk], bounds: np.ndarray, top: TopK) -> int:
+    """Adds to top what all chunks have; bounds: a row per chunk. Gives the number of products."""
+    most, products = bounds.sum(axis=1), 0
+    for k in np.argsort(-most, kind="stable"):
+        threshold = top.threshold()
+        if threshold is not None and most[k] < threshold:
+            break  # so are all that follow
+        products += search(query, query_id, parts[k], bounds[k], top)
+    return products
 
 
 def _shard_search(k: int):
@@ -104,13 +137,10 @@ def _shard_search(k: int):
         if c.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2**52:
             q, c = q.astype(np.float64), c.astype(np.float64)  # exact, and faster
         query_ids, ids = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
-        tops = [TopK(k) for _ in query_ids]
-        for at in range(0, len(ids), CHUNK):
-            postings, some = np.ascontiguousarray(c[at : at + CHUNK].T), ids[at : at + CHUNK]
-            high, low = postings.max(axis=1), postings.min(axis=1)
-            bounds = np.maximum(q * high, q * low)
-            for i, top in enumerate(tops):
-                search(q[i], query_ids[i], some, postings, bounds[i], top)
+        tops, parts = [TopK(k) for _ in query_ids], chunks(ids, c)
+        high, low = (np.array([getattr(x, end) for x in parts]) for end in ("high", "low"))
+        for i, top in enumerate(tops):
+            search_all(q[i], query_ids[i], parts, np.maximum(q[i] * high, q[i] * low), top)
         return pa.table(
             [pa.array(np.repeat(query_ids, [len(t.ids) for t in tops])), pa.array(np.concatenate([t.ids for t in tops])), pa.array(np.concatenate([t.scores for t in tops]))],
             ["query_id", "vec_id", "score"],

@@ -42,13 +42,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavefield.llm import edits
 from wavefield.llm.common import stored, table
 from wavefield.llm.graph import components
 from wavefield.llm.textbytes import blocks, joined, mixed, words
 
-MIN_WORDS, MAX_BITS, MIN_SIMILARITY = 5, 20, 0.8
+MIN_WORDS, MAX_BITS, MIN_SIMILARITY = 5, 18, 0.8
 #: Words from which on the SimHashes of near copies are near, for lines of average words.
-HAMMING_WORDS = 9
+HAMMING_WORDS = 16
 DROP_WORDS, SHINGLE, HASHES = 8, 4, 4
 MAX_WEIGHT = 14
 SMALL, BLOCK = 16, 512
@@ -276,9 +277,21 @@ def similar(a: str, b: str) -> bool:
     return edit_distance(a, b, limit) <= limit
 
 
+def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """similar for each pair; only pairs of very long lines are looked at one by one."""
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    limit = ((1 - MIN_SIMILARITY) * size.max(axis=1) + 1e-9).astype(np.int64)
+    long = size.min(axis=1) > edits.LONGEST
+    out, rest = np.zeros(len(a), bool), np.flatnonzero(~long)
+    out[rest] = edits.within([a[i] for i in rest], [b[i] for i in rest], limit[rest])
+    for i in np.flatnonzero(long):
+        out[i] = similar(a[i], b[i])
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [similar(x, y) for x, y in zip(batch.column("form_x").to_pylist(), batch.column("form_y").to_pylist(), strict=True)]
+        keep = similar_pairs(batch.column("form_x").to_pylist(), batch.column("form_y").to_pylist())
         yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
 
 
@@ -290,24 +303,31 @@ def _cell(key: tuple, group: pa.Table) -> pa.Table:
     no, comp, bits, n, block = (group[c].to_numpy()[at] for c in ("no", "comp", "simhash", "n_words", "block"))
     bits, forms = bits.view(np.uint64), [group["form"][i].as_py() for i in at]
     size = np.array([len(x) for x in forms], np.int64)
-    # characters (64 kinds) that one has and the other lacks bound the distance
-    count = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64) for x in forms]).reshape(-1, 64)
     _, root = np.unique(comp, return_inverse=True)
-    found = []
+    left, right, differ = [], [], []
     for i in range(len(at)):
-        differ = np.bitwise_count(bits[:i] ^ bits[i])
+        bits_apart = np.bitwise_count(bits[:i] ^ bits[i])
         limit = ((1 - MIN_SIMILARITY) * np.maximum(size[:i], size[i]) + 1e-9).astype(np.int64)
-        able = (root[:i] != root[i]) & (np.abs(size[:i] - size[i]) <= limit) & ((differ <= MAX_BITS) | (np.minimum(n[:i], n[i]) < HAMMING_WORDS))
+        able = (root[:i] != root[i]) & (np.abs(size[:i] - size[i]) <= limit) & ((bits_apart <= MAX_BITS) | (np.minimum(n[:i], n[i]) < HAMMING_WORDS))
         if key[1] != key[2]:
             able &= block[:i] != block[i]
         able = np.flatnonzero(able)
-        more = count[able] - count[i]
-        able = able[np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= limit[able]]
-        # the likeliest first: a link spares the others of its group
-        for j in able[np.argsort(differ[able], kind="stable")]:
-            if root[i] != root[j] and similar(forms[i], forms[j]):
-                found.append((no[j], no[i]))
-                root[root == root[i]] = root[j]
+        left.append(able)
+        right.append(np.full(len(able), i))
+        differ.append(bits_apart[able])
+    left, right, differ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, differ))
+    # the likeliest first, so that links spare the others of their group
+    order, found, at_once = np.argsort(differ, kind="stable"), [], 64
+    left, right = left[order], right[order]
+    while len(left):
+        a, b, left, right = left[:at_once], right[:at_once], left[at_once:], right[at_once:]
+        alike = similar_pairs([forms[i] for i in a], [forms[i] for i in b])
+        for i, j in zip(a[alike], b[alike], strict=True):
+            if root[i] != root[j]:
+                found.append((no[i], no[j]))
+                root[root == root[j]] = root[i]
+        apart = root[left] != root[right]
+        left, right, at_once = left[apart], right[apart], min(2 * at_once, edits.PAIRS)
     return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["x", "y"])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Only a session
-    without that setting (a local test) gets a temporary folder of the machine."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Only a local session
+    without that setting (a test) gets a temporary folder of the machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="wavefield-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -33,7 +36,22 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table_] = path
+    return table_
+
+
+#: Where each stored table lies.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing lazy reads any more."""
+    for x in tables:
+        path = _PATHS.pop(x, None)
+        if path is not None:
+            there = x.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -1,66 +1,60 @@
-"""Edit distances of many pairs of texts at once: Myers' bit-parallel columns, a pair per array element."""
+"""An upper bound of the edit distance of many pairs of lines at once, from edits of whole words."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Pairs that are looked at together, and the longest shorter text among them, in characters.
-PAIRS, LONGEST = 2_048, 1_024
-_ONE, _TOP = np.uint64(1), np.uint64(63)
+#: Words that the alignment may run ahead or behind, and pairs that are looked at together.
+BAND, PAIRS = 10, 1_024
+_FAR = 1 << 28
 
 
-def within(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
-    """Whether the Levenshtein distance of each pair is at most its limit. The shorter text of a pair must have
-    LONGEST characters at most."""
-    shorter = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
-    longer = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
-    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (shorter, longer))
-    out = (m == 0) & (n <= limit)
-    able = np.flatnonzero((m > 0) & (n - m <= limit))
-    # pairs of like size go together
-    able = able[np.lexsort((n[able], -(-m[able] // 64)))]
-    for part in np.split(able, np.flatnonzero(np.diff(-(-m[able] // 64))) + 1):
-        for at in range(0, len(part), PAIRS):
-            some = part[at : at + PAIRS][::-1]  # long ones first
-            out[some] = _distances([shorter[i] for i in some], [longer[i] for i in some], m[some], n[some]) <= limit[some]
+def word_bounds(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
+    """For each pair of lines (as words) the least cost of turning one into the other by words added or lost (their
+    length and a blank) and replaced (the longer length), within BAND words of the diagonal; a large
+    number where the lines differ by more words than that. The edit distance is at most that."""
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.full(len(a), _FAR)
+    able = np.flatnonzero((np.abs(m - n) <= BAND) & (m > 0) & (n > 0))
+    able = able[np.argsort(-m[able], kind="stable")]
+    for at in range(0, len(able), PAIRS):
+        some = able[at : at + PAIRS]
+        out[some] = _aligned([a[i] for i in some], [b[i] for i in some], m[some], n[some])
     return out
 
 
-def _distances(a: list[str], b: list[str], m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Distances; all of a have as many blocks of 64 characters, b fall in length."""
-    pairs, blocks = len(a), -(-int(m[0]) // 64)
-    letters = np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = np.flatnonzero(np.bincount(letters))
-    code = np.zeros(int(kinds[-1]) + 1, np.int32)
-    code[kinds] = np.arange(len(kinds))
-    letters = code[letters]
-    of_a, of_b = letters[: m.sum()], letters[m.sum() :]
-    pair = np.repeat(np.arange(pairs), m)
-    place = np.arange(len(of_a)) - np.repeat(np.cumsum(m) - m, m)
-    # where a letter stands in each block of each a, as bits
-    where = np.zeros((len(kinds), blocks, pairs), np.uint64)
-    np.add.at(where, (of_a, place // 64, pair), _ONE << (place % 64).astype(np.uint64))
-    # for each place and b the index of its letter's bits in the first block of its a
-    text = np.zeros((int(n[0]), pairs), np.int64)
-    pair = np.repeat(np.arange(pairs), n)
-    text[np.arange(len(of_b)) - np.repeat(np.cumsum(n) - n, n), pair] = of_b.astype(np.int64) * (blocks * pairs) + pair
-    where = where.ravel()
-    up, down = np.full((blocks, pairs), ~np.uint64(0)), np.zeros((blocks, pairs), np.uint64)
-    score, last = m.copy(), ((m - 1) % 64).astype(np.uint64)
-    left = np.searchsorted(-n, -np.arange(int(n[0])), side="left")  # pairs whose b goes on
-    for j in range(int(n[0])):
-        k = left[j]
-        more, less = np.ones(k, np.uint64), np.zeros(k, np.uint64)
-        for block in range(blocks):
-            u, d, same = up[block, :k], down[block, :k], where.take(text[j, :k] + block * pairs)
-            level = same | d
-            same |= less
-            diagonal = (((same & u) + u) ^ u) | same
-            right_up, right_down = d | ~(diagonal | u), u & diagonal
-            if block == blocks - 1:
-                score[:k] += (((right_up >> last[:k]) & _ONE) - ((right_down >> last[:k]) & _ONE)).view(np.int64)
-            out_up, out_down = right_up >> _TOP, right_down >> _TOP
-            right_up, right_down = (right_up << _ONE) | more, (right_down << _ONE) | less
-            up[block, :k], down[block, :k] = right_down | ~(level | right_up), right_up & level
-            more, less = out_up, out_down
-    return score
+def _matrix(lines: list[list[str]], n: np.ndarray, known: dict[str, int], before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and lengths of the words, a row per line, with margins."""
+    flat = [w for line in lines for w in line]
+    place = (np.repeat(np.arange(len(n)), n), before + np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n))
+    number, size = np.full((len(n), before + int(n.max()) + after), -1, np.int64), np.zeros((len(n), before + int(n.max()) + after), np.int64)
+    number[place] = [known.setdefault(w, len(known)) for w in flat]
+    size[place] = np.fromiter(map(len, flat), np.int64, len(flat))
+    return number, size
+
+
+def _aligned(a: list[list[str]], b: list[list[str]], m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bounds; a falls in words. Column k of a row i stands for the first i - BAND + k words of b."""
+    known: dict[str, int] = {}
+    width, most = 2 * BAND + 1, int(m[0])
+    words_a, size_a = _matrix(a, m, known, 0, 0)
+    words_b, size_b = _matrix(b, n, known, BAND + 1, most + 2 * BAND)
+    # what it costs to add the first j words of b; column j + BAND
+    added = np.concatenate([np.zeros((len(n), BAND + 1), np.int64), np.cumsum(size_b[:, BAND + 1 :] + 1, axis=1)], axis=1)
+    start = np.arange(-BAND, BAND + 1)
+    cost = np.where(start < 0, _FAR, added[:, :width])
+    out = np.full(len(m), _FAR)
+    left = np.searchsorted(-m, -np.arange(most + 1), side="right")  # lines of at least i words
+    for i in range(1, most + 1):
+        k = left[i]
+        word, size = words_a[:k, i - 1, None], size_a[:k, i - 1, None]
+        same = words_b[:k, i : i + width] == word
+        replaced = cost[:k] + np.where(same, 0, np.maximum(size_b[:k, i : i + width], size))
+        lost = np.concatenate([cost[:k, 1:], np.full((k, 1), _FAR)], axis=1) + size + 1
+        so_far = added[:k, i : i + width]
+        cost = np.minimum.accumulate(np.minimum(replaced, lost) - so_far, axis=1) + so_far
+        if start[0] + i < 0:
+            cost[:, : -(start[0] + i)] = _FAR
+        end = np.arange(left[i + 1] if i < most else 0, k)
+        out[end] = cost[end, n[end] - i + BAND]
+    return out

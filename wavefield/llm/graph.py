@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefield.llm.common import stored
+from wavefield.llm.common import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -44,5 +44,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if _is_done(edges):
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
-        edges = stored(_round(edges), "links")
+        before, edges = edges, stored(_round(edges), "links")
+        discard(before)
     raise RuntimeError("components did not settle")

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavefield.llm import edits
-from wavefield.llm.common import stored, table
+from wavefield.llm.common import discard, stored, table
 from wavefield.llm.graph import components
 from wavefield.llm.textbytes import blocks, joined, mixed, words
 
@@ -262,15 +262,11 @@ def edit_distance(a: str, b: str, limit: int) -> int:
 
 
 def similar(a: str, b: str) -> bool:
-    """Whether the edit similarity reaches MIN_SIMILARITY. Two bounds settle most pairs: word by word
-    where both have as many words, and the characters that one has and the other lacks."""
-    longer = max(len(a), len(b))
-    limit = int((1 - MIN_SIMILARITY) * longer + 1e-9)
+    """Whether the edit similarity reaches MIN_SIMILARITY; characters that one has and the other lacks
+    settle some pairs."""
+    limit = int((1 - MIN_SIMILARITY) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > limit:
         return False
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= limit:
-        return True
     here, there = Counter(a), Counter(b)
     if max((here - there).total(), (there - here).total()) > limit:
         return False
@@ -278,13 +274,10 @@ def similar(a: str, b: str) -> bool:
 
 
 def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
-    """similar for each pair; only pairs of very long lines are looked at one by one."""
-    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
-    limit = ((1 - MIN_SIMILARITY) * size.max(axis=1) + 1e-9).astype(np.int64)
-    long = size.min(axis=1) > edits.LONGEST
-    out, rest = np.zeros(len(a), bool), np.flatnonzero(~long)
-    out[rest] = edits.within([a[i] for i in rest], [b[i] for i in rest], limit[rest])
-    for i in np.flatnonzero(long):
+    """similar for each pair; edits of whole words settle most that are, all at once."""
+    longest = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    out = edits.word_bounds([x.split(" ") for x in a], [y.split(" ") for y in b]) <= (1 - MIN_SIMILARITY) * longest + 1e-9
+    for i in np.flatnonzero(~out):
         out[i] = similar(a[i], b[i])
     return out
 
@@ -316,6 +309,17 @@ def _cell(key: tuple, group: pa.Table) -> pa.Table:
         right.append(np.full(len(able), i))
         differ.append(bits_apart[able])
     left, right, differ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, differ))
+    # a pair belongs to the first hot key that both have
+    hot = [np.array(group["hot"][i].as_py(), np.int64) for i in at]
+    keys = np.full((len(at), max(map(len, hot), default=0)), np.iinfo(np.int64).min)
+    for i, x in enumerate(hot):
+        x = x[x < key[0].as_py()]
+        keys[i, : len(x)] = x
+    mine = np.ones(len(left), bool)
+    for c in range(0, len(left), 4_096):
+        x, y = keys[left[c : c + 4_096]], keys[right[c : c + 4_096]]
+        mine[c : c + 4_096] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != np.iinfo(np.int64).min)).any(axis=(1, 2))
+    left, right, differ = left[mine], right[mine], differ[mine]
     # the likeliest first, so that links spare the others of their group
     order, found, at_once = np.argsort(differ, kind="stable"), [], 64
     left, right = left[order], right[order]
@@ -372,7 +376,7 @@ def _forms(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
     by_text = places.groupBy(F.col("doc_id").alias("id_"), F.col("text_id").alias("text_id_")).agg(F.collect_list(F.struct("line_no", "line_id", "no")).alias("wanted"))
     there = docs["doc_id"].eqNullSafe(F.col("id_")) & (docs["text_id"] == F.col("text_id_"))
     found = docs.join(by_text, there).select("text", "wanted").mapInArrow(_texts, "no long, form string")
-    return stored(found, "forms").dropDuplicates(["no"])
+    return stored(found, "forms")
 
 
 def _verified(pairs: DataFrame, forms: DataFrame) -> DataFrame:
@@ -389,33 +393,41 @@ def _class_roots(docs: DataFrame, classes: DataFrame, small: int, block: int, wo
     met = stored(entries.repartitionByRange(parts, "key", "no").sortWithinPartitions("key", "no").mapInArrow(_repeated, "no long, key long"), "met")
     shared = met.groupBy("key").agg(F.count("*").alias("df"), F.min("no").alias("anchor")).where("df > 1")
     lists = stored(met.join(shared, "key").join(classes.select("no", *facts), "no"), "keys")
-    forms = _forms(docs, classes, lists)
+    discard(met)
+    written = _forms(docs, classes, lists)
+    forms = written.dropDuplicates(["no"])
 
     # every class with the smallest one of its key
     anchors = _side(lists.where(F.col("no") == F.col("anchor")), "y", *facts)
     stars = _side(lists.where(F.col("no") != F.col("anchor")), "x", *facts).join(anchors, "key").where(_near()).select("x", "y").distinct()
-    first_links = _verified(stored(stars, "stars"), forms)
-    roots = stored(components(first_links, "x", "y"), "roots")
+    stars = stored(stars, "stars")
+    roots = stored(components(_verified(stars, forms), "x", "y"), "roots")
+    discard(stars)
 
     # keys whose classes are not all connected
     placed = lists.join(roots.withColumnRenamed("id", "no"), "no", "left").withColumn("comp", F.coalesce("root", "no")).drop("root")
     apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     still = stored(placed.join(apart, "key"), "open")
+    discard(lists)
     few = still.where((F.col("df") <= small) & (F.col("no") != F.col("anchor")))
     x, y = _side(few, "x", "comp", *facts), _side(few, "y", "comp", *facts)
     pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.col("comp_x") != F.col("comp_y")) & _near())
     pairs = stored(pairs.select("x", "y").distinct(), "pairs")
 
-    hot = still.where(F.col("df") > small).withColumn("blocks", F.ceil(F.col("df") / block).cast("int"))
+    hot = still.where(F.col("df") > small)
+    hot = hot.join(hot.groupBy("no").agg(F.collect_set("key").alias("hot")), "no").withColumn("blocks", F.ceil(F.col("df") / block).cast("int"))
     hot = hot.withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = hot.select("key", "no", "anchor", "comp", *facts, "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(forms, "no")
+    cells = hot.select("key", "no", "anchor", "hot", "comp", *facts, "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(forms, "no")
     in_cells = cells.groupBy("key", "a", "b").applyInArrow(_cell, "x long, y long")
     links = stored(_verified(pairs, forms).unionByName(in_cells), "links")
+    discard(pairs, still, written)
 
     # what joins groups of the first step
     comp = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))
     bridges = links.join(comp("x"), "x", "left").join(comp("y"), "y", "left").select(F.coalesce("root_x", "x").alias("x"), F.coalesce("root_y", "y").alias("y"))
-    over = components(bridges, "x", "y").select(F.col("id").alias("root"), F.col("root").alias("top"))
+    over = components(bridges, "x", "y")
+    discard(links)
+    over = over.select(F.col("id").alias("root"), F.col("root").alias("top"))
     every = roots.unionByName(over.select(F.col("root").alias("id"), "root").join(roots.select("id"), "id", "left_anti"))
     return every.join(over, "root", "left").select(F.col("id").alias("no"), F.coalesce("top", "root").alias("root"))
 
@@ -439,6 +451,7 @@ def line_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK, word_pa
     # written down, so that a group with very many classes can be split in the join below
     firsts = stored(members.groupBy("root").agg(F.min("line_id").alias("group_id"), F.min("first").alias("kept_at")), "firsts")
     known = stored(members.select("line_id", "root").join(firsts, "root").drop("root"), "groups")
+    discard(classes, firsts)
     rows = lines.select("doc_id", "text_id", "line_no", "line_id").join(known, "line_id", "left")
     here = F.struct("doc_id", "line_no", "text_id")
     kept = F.col("kept_at").isNull() | (here == F.col("kept_at"))

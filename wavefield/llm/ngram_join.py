@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefield.llm.common import WORD, stored, table
+from wavefield.llm.common import WORD, discard, stored, table
 from wavefield.llm.graph import components
 from wavefield.llm.textbytes import IS_SPACE, LOWER, blocks, joined, mixed, words
 
@@ -268,6 +268,7 @@ def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK, leng
 
     verified = able.join(side(payload, "x", "grams", "w"), "x").join(side(payload, "y", "grams", "w"), "y").mapInArrow(lambda batches: _verify(batches, link), "x long, y long, w_x long, w_y long")
     links = stored(verified.distinct(), "verified")  # repeated rows bring a set twice
+    discard(able, shared)
 
     # long lists: pairs of blocks
     number = F.ceil(F.col("df") / block).cast("int")
@@ -276,6 +277,7 @@ def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK, leng
     cells = cells.select("no", "token", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     members = cells.join(payload.select("no", "n", "w", "shared", "df", "grams"), "no")
     in_cells = stored(members.groupBy("token", "a", "b").applyInArrow(lambda key, group: _cell(key, group, small, link), "x long, y long, weight long"), "cells")
+    discard(lists, payload)
 
     roots = components(links.select("x", "y").unionByName(in_cells.select("x", "y")), "x", "y")
     degree = links.select(F.col("x").alias("no"), F.col("w_y").alias("weight")).unionByName(links.select(F.col("y").alias("no"), F.col("w_x").alias("weight")))
@@ -284,6 +286,7 @@ def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK, leng
     smallest = roots.join(reps, roots["id"] == reps["no"]).groupBy("root").agg(F.min("rep").alias("smallest"))
     named = roots.join(smallest, "root").select(F.col("id").alias("no"), "smallest").join(degree, "no", "left")
     known = stored(reps.join(named, "no", "left").select("cid", F.coalesce("smallest", "rep").alias("component"), (F.coalesce("degree", F.lit(0)) + F.col("w") - 1).alias("n_links")), "components")
+    discard(classes, links, in_cells)
     rows = each.select("doc_id", "n", "cid").join(known, "cid", "left")
     alone = F.col("n") == 0
     return rows.select(

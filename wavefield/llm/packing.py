@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -79,30 +80,42 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
     return places, made
 
 
+def _pieces(doc_id: pa.Array, ids: pa.ListArray, window: int, names: list[str]) -> pa.RecordBatch:
+    """Every document cut into full windows and a rest."""
+    at = ids.offsets.to_numpy().astype(np.int64)
+    n = np.diff(at)
+    many = -(-n // window)
+    doc = np.repeat(np.arange(len(n)), many)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * window
+    length = np.minimum(window, n[doc] - start)
+    values, begin = memoryview(ids.values.to_numpy()).cast("B"), 4 * (at[doc] + start)
+    crc = np.fromiter((zlib.crc32(values[a : a + size]) for a, size in zip(begin.tolist(), (4 * length).tolist(), strict=True)), np.int64, len(doc))
+    return pa.record_batch([doc_id.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[doc])], names)
+
+
 def _packer(vocabulary: str, end_id: int, window: int, buffer: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = token_ids.encoder(vocabulary), end_id.to_bytes(4, "little")
+        encoder = token_ids.encoder(vocabulary)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        rows: list[tuple] = []  # doc_id, start, length, crc32, doc_tokens
+        held: list[pa.RecordBatch] = []  # pieces: doc_id, start, length, ids_crc32, doc_tokens
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal first
-            places, made = best_fit_decreasing([x[2] for x in rows], window)
-            columns = list(zip(*(r + (first + s, o) for r, (s, o) in zip(rows, places, strict=True)), strict=True))
-            first += made
-            rows.clear()
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in columns], names)
-
-        for batch in batches:
-            ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i, doc_id in enumerate(ids_of):
-                ids = encoder.encode([texts[i].as_py()])[0] + end
-                n = len(ids) // 4
-                rows += ((doc_id, k, min(window, n - k), zlib.crc32(ids[4 * k : 4 * (k + window)]), n) for k in range(0, n, window))
-                if len(rows) >= buffer:
-                    yield from flush()
-        if rows:
+            pieces = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            for at in range(0, pieces.num_rows, buffer):
+                some = pieces.slice(at, buffer)
+                places, made = best_fit_decreasing(some["length"].to_pylist(), window)
+                sequence, offset = np.array(places, np.int64).T
+                yield from some.append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset)).to_batches()
+                first += made
+
+        for batch in token_ids.blocks(batches):
+            held.append(_pieces(batch.column("doc_id"), encoder.encode_array(batch.column("text"), end_id), window, names[:5]))
+            if sum(x.num_rows for x in held) >= buffer:
+                yield from flush()
+        if held:
             yield from flush()
 
     return pack

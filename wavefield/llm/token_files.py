@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,29 +28,19 @@ from wavefield.llm.common import table, work_dir
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
-#: Documents encoded at a time, which bounds what a task holds besides its batch of texts.
-SLICE = 500
-
 
 def _writer(vocabulary: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = token_ids.encoder(vocabulary), end_id.to_bytes(4, "little")
+        encoder = token_ids.encoder(vocabulary)
         shard, start = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
-                sizes, starts, offsets = [len(x) // 4 for x in ids], [], [0]
-                for n in sizes:
-                    starts.append(start)
-                    offsets.append(offsets[-1] + n)
-                    start += n
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
-                yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array([shard] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)],
-                    ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
-                )
+        for batch in token_ids.blocks(batches):
+            ids = encoder.encode_array(batch.column("text"), end_id)
+            ends = ids.offsets.to_numpy().astype(np.int64)
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(np.full(len(ids), shard, np.int32)), pa.array(start + ends[:-1]), pa.array(np.diff(ends).astype(np.int32)), ids],
+                ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
+            )
+            start += int(ends[-1])
 
     return encode
 

@@ -7,7 +7,7 @@ good marginals, weighted by line length, is the document's score. Only documents
 the fit each line of a labelled document takes that document's label.
 
 Learned from: at most SAMPLE documents per label value, chosen by hash among labelled rows outside
-the held-out third, of at most FIT_LINES lines each; weights undo the sampling. Scoring is one map
+the held-out third; of a longer document FIT_LINES lines in a row, from a place chosen by hash. Weights undo the sampling. Scoring is one map
 over the table, without a shuffle, in blocks of a few megabytes of text.
 
 Defined results: a null or empty text scores 0; a text of line feeds alone is scored by its empty
@@ -17,6 +17,7 @@ each count; repeated rows are scored one by one; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,10 +156,11 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
             for first, run in blocks(texts):
                 x, _, per_text = line_features(run)
                 at = np.concatenate([[0], np.cumsum(per_text)])
-                keep = [i for i in range(len(run)) if run[i] and per_text[i] <= FIT_LINES]
+                keep = [i for i in range(len(run)) if run[i]]
+                begin = {i: at[i] + zlib.crc32(run[i]) % max(1, per_text[i] - FIT_LINES + 1) for i in keep}
                 part = batch.slice(first, len(run)).take(pa.array(keep, pa.int32()))
                 yield pa.record_batch(
-                    [part.column("doc_id"), part.column("good_"), pa.array([x[at[i] : at[i + 1]].tobytes() for i in keep], pa.binary())], ["doc_id", "good_", "x"]
+                    [part.column("doc_id"), part.column("good_"), pa.array([x[begin[i] : min(begin[i] + FIT_LINES, at[i + 1])].tobytes() for i in keep], pa.binary())], ["doc_id", "good_", "x"]
                 )
 
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "good_", "text").mapInArrow(features, "doc_id long, good_ int, x binary").collect()

@@ -131,15 +131,31 @@ class _Expressions:
 
 
 def parse(source: str) -> Node:
-    pieces = [x for x in _TAG.split(source) if x]
+    pieces = _trimmed(_TAG.split(source))
     root, rest = _block(pieces, 0, ())
     if rest < len(pieces):
         raise TemplateError(f"unexpected {pieces[rest]}")
     return root
 
 
+def _trimmed(pieces: list[str]) -> list[str]:
+    """The pieces that are not empty; a tag's inner hyphens take the white space beside it away."""
+    out, cut = [""], False
+    for piece in pieces:
+        if piece.startswith(("{{", "{%")):
+            inner = piece[2:-2]
+            if inner.startswith("-") and not out[-1].startswith(("{{", "{%")):
+                out[-1] = out[-1].rstrip()
+            cut = inner.endswith("-")
+            out.append(piece[:2] + inner.removeprefix("-").removesuffix("-") + piece[-2:])
+        elif piece:
+            out.append(piece.lstrip() if cut else piece)
+            cut = False
+    return [x for x in out if x]
+
+
 def _statement(piece: str) -> list[str]:
-    return piece[2:-2].strip("-").strip().split(None, 1) if piece.startswith("{%") else []
+    return piece[2:-2].strip().split(None, 1) if piece.startswith("{%") else []
 
 
 def _block(pieces: list[str], at: int, ends: tuple[str, ...]) -> tuple[Node, int]:

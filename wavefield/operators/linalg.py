@@ -135,7 +135,8 @@ def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.nda
     for batch in batches:
         for row in batch.to_pylist():
             v = np.array(row["v_re"]) + 1j * np.array(row["v_im"])
-            yield row["video_id"], row["window_id"], np.array(row["s"]), v.reshape(-1, row["rank"])
+            # a window without any signal has no rank
+            yield row["video_id"], row["window_id"], np.array(row["s"]), v.reshape(-1, row["rank"]) if row["rank"] else np.zeros((0, 0), complex)
 
 
 def optimal_rank(singular: DataFrame, beta: float, rows: int, sigma: float | None = None) -> DataFrame:
@@ -174,7 +175,7 @@ def initial_frequencies(basis: DataFrame, dt: float, method: str = "nonequidista
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for video, window, s, v in _bases(batches):
-            alpha = first_alphas(s[:, None] * v.conj().T, dt, len(s), method)
+            alpha = first_alphas(s[:, None] * v.conj().T, dt, len(s), method) if len(s) else ()
             yield pa.RecordBatch.from_pylist([{"video_id": video, "window_id": window, "alpha_re": a.real, "alpha_im": a.imag} for a in alpha], _schema(schema))
 
     return basis.mapInArrow(run, schema)
@@ -187,6 +188,8 @@ def fit_modes(basis: DataFrame, dt: float, mode: str = "standard", init: str = "
     status failed."""
 
     def one(video: str, window: int, s: np.ndarray, v: np.ndarray, previous: np.ndarray | None) -> tuple[list[dict], np.ndarray | None]:
+        if not len(s):
+            return _failed(video, window), previous
         try:
             x, times = s[:, None] * v.conj().T, np.arange(v.shape[0]) * dt
             starts = [] if previous is None else [previous]

@@ -1,8 +1,8 @@
 """Per-window pixel preparation. A `series` has a row per (video_id, window_id, pixel) with v, the
 array of samples (null where there is none); `re` and `im` hold complex signals.
 
-Window-wide figures are partial aggregates joined back on (video_id, window_id): no window is ever
-gathered in one task.
+Window-wide figures are partial aggregates joined back on (video_id, window_id) and a part of the pixels: no
+window is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from wavefield.functions.arrays import lists, matrix
 from wavefield.functions.signal import amplitudes, analytic
 
 WINDOW = ["video_id", "window_id"]
+#: A window's pixels are dealt to so many keys where they meet figures of the whole window.
+PARTS = 32
 
 
 def to_series(frames: DataFrame, rows: int | None = None) -> DataFrame:
@@ -40,18 +42,27 @@ def _long(series: DataFrame) -> DataFrame:
     return series.select(*WINDOW, F.posexplode("v").alias("frame", "x"))
 
 
+def with_figures(series: DataFrame, figures: DataFrame, how: str = "left") -> DataFrame:
+    """series with the columns of figures, one row per window."""
+    spread = figures.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = series.withColumn("part_", F.pmod(F.coalesce("pixel", F.lit(0)), F.lit(PARTS)).cast("int"))
+    return dealt.join(spread, [*WINDOW, "part_"], how).drop("part_")
+
+
 def demean_frames(series: DataFrame) -> DataFrame:
     """v less the mean of each frame over the good pixels (column bad)."""
     means = _long(series.where(~F.col("bad"))).groupBy(*WINDOW, "frame").agg(F.avg("x").alias("mean"))
     by_window = means.groupBy(*WINDOW).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "mean"))), lambda x: x["mean"]).alias("means"))
-    joined = series.join(by_window, WINDOW, "left")
+    joined = with_figures(series, by_window)
     return joined.withColumn("v", F.coalesce(F.zip_with("v", "means", lambda x, m: x - m), F.col("v"))).drop("means")
 
 
 def minmax_normalise(series: DataFrame) -> DataFrame:
-    """v scaled to 0..1 over the whole window; normfac keeps the range."""
-    extremes = series.groupBy(*WINDOW).agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"))
-    joined = series.join(extremes, WINDOW)
+    """v scaled so that the good pixels (all, without a column bad) of the whole window span 0..1; normfac
+    keeps their range."""
+    good = series.where(~F.col("bad")) if "bad" in series.columns else series
+    extremes = good.groupBy(*WINDOW).agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"))
+    joined = with_figures(series, extremes)
     scaled = F.when(F.col("high") > F.col("low"), F.transform("v", lambda x: (x - F.col("low")) / (F.col("high") - F.col("low")))).otherwise(F.transform("v", lambda x: x * 0.0))
     return joined.withColumn("v", scaled).withColumn("normfac", F.col("high") - F.col("low")).drop("low", "high")
 
@@ -135,7 +146,7 @@ def coast_detect(series: DataFrame, dt: float, band: tuple[float, float] = (1 /
     with_ratio = series.mapInArrow(run, f"{kept}, raw double")
     extremes = with_ratio.groupBy(*WINDOW).agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
     scaled = F.when(F.col("high") > F.col("low"), (F.col("raw") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
-    return with_ratio.join(extremes, WINDOW).withColumn("ratio", scaled).withColumn("coast", F.col("ratio") > threshold).drop("raw", "low", "high")
+    return with_figures(with_ratio, extremes).withColumn("ratio", scaled).withColumn("coast", F.col("ratio") > threshold).drop("raw", "low", "high")
 
 
 def stack_delay(series: DataFrame) -> DataFrame:

@@ -55,8 +55,7 @@ def _tiles(spark, d):
     """The grid's cells by the modes of part: one video of M by N pixels."""
     meta = _meta(spark, d).where("video_id = 'v8'").select(F.lit("pa").alias("video_id"), F.lit(M).alias("m"), F.lit(N).alias("n"), F.lit(DX).alias("dx"), "x0", "y0")
     m = modes.band_filter_modes(modes.sort_modes(part_modes(spark, d)))
-    few = m.groupBy("video_id", "window_id", "omega").agg(F.min("mode").alias("mode"))
-    return grid.clip_tiles_to_frame(grid.build_grid(meta, "fast"), few, meta), meta
+    return grid.clip_tiles_to_frame(grid.build_grid(meta, "fast"), m, meta), meta
 
 
 def g3_clip_tiles(spark, d):
@@ -85,15 +84,18 @@ def g6_mask_cells(spark, d):
 
 
 def g7_k_tile_estimates(spark, d):
-    """Estimates on images drawn from the embeddings' samples."""
-    s = pixel_series(spark, d).where(F.col("window_id").isNotNull()).select("pixel", "row", "col", F.col("v")[0].alias("re"), F.coalesce(F.col("v")[1], F.lit(0.0)).alias("im"))
-    p = s.select(F.lit("emb").alias("video_id"), F.lit(0).cast("long").alias("window_id"), F.lit(0).alias("mode"), "row", "col", "re", "im")
-    size = [(r, c) for r in (8, 10, 12, 16) for c in (8, 10)]
-    at = F.explode(F.array(*[F.struct(F.lit(r).alias("px_row"), F.lit(c).alias("px_col")) for r, c in size])).alias("p")
-    t = p.select("video_id", "window_id", "mode").distinct().select("*", at).select("video_id", "window_id", "mode", "p.*")
-    t = t.select("*", (F.col("px_row") * 100 + F.col("px_col")).cast("long").alias("cell"), F.lit(0.8).alias("omega"), F.lit(1.0).alias("dx"), F.lit(16).alias("size_v"), F.lit(16).alias("size_h"), F.lit(1.0).alias("step"))
+    """Estimates on images drawn from the embeddings: each pair of samples is a mode, and tiles of 16 by 16 lie
+    on a grid over all columns of the image."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(F.get("v", 4 * k).alias("re"), F.coalesce(F.get("v", 4 * k + 1), F.lit(0.0)).alias("im")))
+    s = pixel_series(spark, d).where(F.col("window_id").isNotNull()).select("row", "col", F.posexplode(pairs).alias("mode", "z"))
+    p = s.select(F.lit("emb").alias("video_id"), F.lit(0).cast("long").alias("window_id"), "mode", "row", "col", F.coalesce("z.re", F.lit(0.0)).alias("re"), "z.im")
+    # centres whose tile lies inside the 25 rows and the columns that there are
+    last = p.groupBy("video_id", "window_id", "mode").agg(F.max("col").cast("int").alias("last"))
+    col = F.explode(F.expr("CASE WHEN last >= 15 THEN sequence(8, last - 7, 4) ELSE array() END")).alias("px_col")
+    t = last.select("video_id", "window_id", "mode", col).select("*", F.explode(F.array(F.lit(8), F.lit(12), F.lit(16))).alias("px_row"))
+    t = t.select("*", (F.col("px_row") * 100_000 + F.col("px_col")).cast("long").alias("cell"), (F.lit(0.6) + F.col("mode") / 20).alias("omega"), F.lit(1.0).alias("dx"), F.lit(16).alias("size_v"), F.lit(16).alias("size_h"), F.lit(1.0).alias("step"))
     e = tiles.tile_estimates(p, t)
-    return rounded(e.select("cell", F.col("kx")[0].alias("kx"), "e_fft", "cx", "cy", "e_piv"), ["cell"], kx=4, e_fft=3, cx=2, cy=2, e_piv=3)
+    return rounded(e.select("cell", "omega", F.col("kx")[0].alias("kx"), "e_fft", "cx", "cy", "e_piv"), ["cell"], omega=4, kx=4, e_fft=3, cx=2, cy=2, e_piv=3)
 
 
 def s2_crop_stride(spark, d):
@@ -181,7 +183,7 @@ def _clip_sql(c: str, length: str) -> str:
 
 _TILES = (
     "WITH " + MODES_SQL + ", s AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY abs(alpha_im), alpha_im DESC, alpha_re, mode) - 1 AS rank FROM modes), "
-    "few AS (SELECT window_id, abs(alpha_im) AS omega, min(rank) AS mode FROM s WHERE abs(alpha_im) / (2 * pi()) > 1.0::DOUBLE / 15 AND abs(alpha_im) / (2 * pi()) < 1.0::DOUBLE / 3 GROUP BY window_id, abs(alpha_im)), "
+    "few AS (SELECT window_id, abs(alpha_im) AS omega, rank AS mode FROM s WHERE abs(alpha_im) / (2 * pi()) > 1.0::DOUBLE / 15 AND abs(alpha_im) / (2 * pi()) < 1.0::DOUBLE / 3), "
     f"one AS (SELECT {M} AS m, {N} AS n, {DX}::DOUBLE AS dx), " + _grid_sql("one", 20) + ", "
     f"z AS (SELECT window_id, mode, cell, px_row, px_col, m, n, {_size_sql(2, 'dx', 'least')} AS size, {_size_sql(1, 'dx', 'least')} AS size_min FROM grid, few), "
     f"t0 AS (SELECT *, {_clip_sql('px_row', 'm')} AS v, {_clip_sql('px_col', 'n')} AS h FROM z), "

@@ -34,7 +34,7 @@ def p3_demean_frames(spark, d):
 
 
 def p4_minmax_normalise(spark, d):
-    s = preprocess.minmax_normalise(pixel_series(spark, d))
+    s = preprocess.minmax_normalise(preprocess.flag_bad_pixels(pixel_series(spark, d)))
     return rounded(s.select(*KEYS, "normfac", _sum("v").alias("total")), KEYS, normfac=5, total=4)
 
 
@@ -73,9 +73,9 @@ def d2_gram(spark, d):
 
 
 def d1_tall_svd(spark, d):
-    """Singular values; their squares sum to the trace of the Gram matrix."""
+    """Singular values: their squares sum to the trace of the Gram matrix, their fourth powers to that of its square."""
     values = linalg.singular_values(linalg.tall_svd(linalg.triangular(good_series(spark, d)), 64))
-    return rounded(values.groupBy("window_id").agg(F.sum(F.col("sv") * F.col("sv")).alias("energy")), ["window_id"], energy=4)
+    return rounded(values.groupBy("window_id").agg(F.sum(F.pow("sv", F.lit(2))).alias("energy"), F.sum(F.pow("sv", F.lit(4))).alias("energy2")), ["window_id"], energy=4, energy2=2)
 
 
 def d3_project(spark, d):
@@ -92,6 +92,12 @@ def d4_optimal_rank(spark, d):
     return rounded(linalg.optimal_rank(values.withColumn("i", order - 1), 0.5, 64), ["window_id", F.col("rank").cast("long").alias("rank")], cutoff=4)
 
 
+def d4_rank_of_singular_values(spark, d):
+    """The rank that optimal_rank gives for the singular values themselves."""
+    values = linalg.singular_values(linalg.tall_svd(linalg.triangular(good_series(spark, d)), 64))
+    return rounded(linalg.optimal_rank(values, 0.5, 64), ["window_id", F.col("rank").cast("long").alias("rank")], cutoff=3)
+
+
 def linalg_window():
     from pyspark.sql import Window
 
@@ -153,7 +159,7 @@ ORACLES = {
     "p1_to_series": SERIES_SQL + " SELECT window_id, pixel, count(*) AS n, round(sum(coalesce(x, 0)), 5) + 0.0 AS total, round(max(x) FILTER (WHERE frame = 0), 5) + 0.0 AS first, round(max(x) FILTER (WHERE frame = 63), 5) + 0.0 AS last FROM px GROUP BY window_id, pixel",
     "p2_flag_bad_pixels": SERIES_SQL + " SELECT DISTINCT window_id, pixel, bad FROM px JOIN bad USING (pixel)",
     "p3_demean_frames": SERIES_SQL + ", m AS (SELECT window_id, frame, avg(x) AS m FROM good GROUP BY window_id, frame) SELECT window_id, pixel, round(sum(coalesce(abs(x - m), 0)), 4) + 0.0 AS size FROM px JOIN m USING (window_id, frame) GROUP BY window_id, pixel",
-    "p4_minmax_normalise": SERIES_SQL + ", e AS (SELECT window_id, min(x) AS lo, max(x) AS hi FROM px GROUP BY window_id) SELECT window_id, pixel, round(any_value(hi - lo), 5) + 0.0 AS normfac, round(sum(coalesce((x - lo) / (hi - lo), 0)), 4) + 0.0 AS total FROM px JOIN e USING (window_id) GROUP BY window_id, pixel",
+    "p4_minmax_normalise": SERIES_SQL + ", e AS (SELECT window_id, min(x) AS lo, max(x) AS hi FROM good GROUP BY window_id) SELECT window_id, pixel, round(any_value(hi - lo), 5) + 0.0 AS normfac, round(sum(coalesce((x - lo) / (hi - lo), 0)), 4) + 0.0 AS total FROM px JOIN e USING (window_id) GROUP BY window_id, pixel",
     "p5_exclude_bad": SERIES_SQL + " SELECT window_id, count(DISTINCT pixel) FILTER (WHERE NOT bad) AS n_pixels, count(DISTINCT pixel) AS n_all, round(sum(coalesce(x, 0)), 4) + 0.0 AS total FROM px JOIN bad USING (pixel) GROUP BY window_id",
     "p6_analytic_signal": SERIES_SQL + """, f AS (SELECT window_id, pixel, k, sum(x * cos(2 * pi() * k * frame / 64)) AS a, -sum(x * sin(2 * pi() * k * frame / 64)) AS b
         FROM good, (SELECT unnest(range(0, 33)) AS k) GROUP BY window_id, pixel, k),
@@ -166,7 +172,7 @@ ORACLES = {
       e AS (SELECT window_id, min(raw) AS lo, max(raw) AS hi FROM r GROUP BY window_id) SELECT window_id, pixel, round((raw - lo) / (hi - lo), 5) + 0.0 AS ratio FROM r JOIN e USING (window_id)""",
     "p9_stack_delay": SERIES_SQL + " SELECT window_id, pixel, half, count(*) AS n, round(sum(x), 5) + 0.0 AS total FROM good, (SELECT unnest([0, 1]) AS half) WHERE frame BETWEEN half AND half + 62 GROUP BY window_id, pixel, half",
     "p10_band_filter": SERIES_SQL + "," + _DFT + f" SELECT window_id, k AS bin, round(avg(a), 6) + 0.0 AS amplitude FROM dft WHERE k / 64 / {DT} > 1.0::DOUBLE / 15 AND k / 64 / {DT} < 1.0::DOUBLE / 3 GROUP BY window_id, k",
-    "d1_tall_svd": SERIES_SQL + " SELECT window_id, round(sum(x * x), 4) + 0.0 AS energy FROM good GROUP BY window_id",
+    "d1_tall_svd": SERIES_SQL + ", g AS (SELECT a.window_id, a.frame = b.frame AS own, sum(a.x * b.x) AS g FROM good a JOIN good b USING (window_id, pixel) GROUP BY a.window_id, a.frame, b.frame) SELECT window_id, round(sum(g) FILTER (WHERE own), 4) + 0.0 AS energy, round(sum(g * g), 2) + 0.0 AS energy2 FROM g GROUP BY window_id",
     "d2_gram": SERIES_SQL + " SELECT a.window_id, a.frame AS i, b.frame AS j, round(sum(a.x * b.x), 5) + 0.0 AS re FROM good a JOIN good b USING (window_id, pixel) GROUP BY a.window_id, a.frame, b.frame",
     "d3_project": SERIES_SQL + " SELECT window_id, frame, round(sum(x * x), 4) + 0.0 AS energy FROM good GROUP BY window_id, frame",
     "d4_optimal_rank": SERIES_SQL + f", s AS (SELECT window_id, frame, sqrt(sum(x * x)) AS sv FROM good GROUP BY window_id, frame), c AS (SELECT window_id, median(sv) * {rank_threshold(0.5) / math.sqrt(marchenko_pastur_median(0.5))!r}::DOUBLE AS cutoff FROM s GROUP BY window_id) SELECT window_id, count(*) FILTER (WHERE sv > cutoff) AS rank, round(cutoff, 4) + 0.0 AS cutoff FROM s JOIN c USING (window_id) GROUP BY window_id, cutoff",
@@ -180,6 +186,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         p1_to_series, p2_flag_bad_pixels, p3_demean_frames, p4_minmax_normalise, p5_exclude_bad, p6_analytic_signal, p7_amplitude_spectrum, p8_coast_detect, p9_stack_delay, p10_band_filter,
-        d1_tall_svd, d2_gram, d3_project, d4_optimal_rank, d5_initial_frequencies, d6_fit_modes, d7_exact_modes, d8_mode_weights, d13_phase_image, d14_unstack_pixels, d15_smooth_modes,
+        d1_tall_svd, d2_gram, d3_project, d4_optimal_rank, d4_rank_of_singular_values, d5_initial_frequencies, d6_fit_modes, d7_exact_modes, d8_mode_weights, d13_phase_image, d14_unstack_pixels, d15_smooth_modes,
     )
 }

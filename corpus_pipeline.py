@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wavefield.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from wavefield.llm.common import stored, table
+from wavefield.llm.common import discard, stored, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -19,14 +19,15 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: SQL cannot express the line, join and packing stages; tests/llm checks run() against plain Python.
+#: SQL cannot express the line, join and packing stages; tests/llm checks each stage and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -30,7 +30,7 @@ from wavefield.llm.common import table
 
 K, SCALE, EVERY = 10, 1024, 100
 #: Candidates in a shard and queries in a block, about; candidates in a chunk at most, and on average.
-SHARD, QUERY_BLOCK, CHUNK, NEAR = 16_384, 8_192, 512, 64
+SHARD, QUERY_BLOCK, CHUNK, NEAR = 16_384, 8_192, 2_048, 512
 SCHEMA = "query_id long, vec_id long, score long"
 
 

@@ -136,8 +136,8 @@ def _prefixes(order, length: int, link: tuple[int, int]):
                     keep = np.lexsort((s, counts[bucket(s)]))[: prefix_size(len(s), link)] if len(s) else []
                     prefix.append(s[keep].view(np.int64))
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(first, len(part)), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.binary())],
-                    ["doc_id", "n", "cid", "prefix", "segments"],
+                    [batch.column("doc_id").slice(first, len(part)), batch.column("row_key").slice(first, len(part)), batch.column("row_check").slice(first, len(part)), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.binary())],
+                    ["doc_id", "row_key", "row_check", "n", "cid", "prefix", "segments"],
                 )
 
     return run
@@ -147,7 +147,7 @@ PAYLOAD = "no long, n long, w long, shared array<long>, df array<long>, grams bi
 
 
 def _payload(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The sets of candidate classes; a row whose text is not the class's own (an id used twice) goes."""
+    """The sets of candidate classes; a row whose text is not the class's own (keys that collide) goes."""
     for batch in batches:
         cids = batch.column("cid").to_pylist()
         for first, run in blocks(batch.column("text").to_pylist()):
@@ -228,13 +228,21 @@ def _cell(key: tuple, group: pa.Table, small: int, limit: tuple[int, int]) -> pa
     return pa.table([pa.array(no[some]), pa.array(no[root[some]]), pa.array((link @ w)[some].astype(np.int64))], ["x", "y", "weight"])
 
 
+def with_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The text of each chosen class, one row a class: texts meet by key and not by id, and equal rows are one after
+    partial aggregation, before they are shuffled."""
+    key = ["row_key", "row_check"]
+    return docs.groupBy(*key).agg(F.first("text").alias("text")).join(chosen, key).select("no", "cid", "n", "w", "shared", "df", "text")
+
+
 def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK, length: int = N, link: tuple[int, int] = LINK) -> DataFrame:
     """Texts whose sets of shingles of length words have a Jaccard of link[0] / link[1] or more: doc_id, n_shingles, component_id, class_id (equal sets) and n_links of every row."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    # rows of one id and text are the same to what follows; an id alone may have very many texts
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"), F.hash("text").alias("row_check"))
     order = spark.sparkContext.broadcast(count_buckets(docs, length))
-    each = stored(docs.mapInArrow(_prefixes(order, length, link), "doc_id long, n long, cid binary, prefix array<long>, segments binary"), "prefixes")
-    classes = each.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments"))
+    each = stored(docs.mapInArrow(_prefixes(order, length, link), "doc_id long, row_key long, row_check int, n long, cid binary, prefix array<long>, segments binary"), "prefixes")
+    classes = each.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("row_key", "row_check")).alias("row"), F.count("*").alias("w"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments"))
     # a number for each class, written down with it: short in every table below
     classes = stored(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
 
@@ -262,12 +270,11 @@ def link_documents(docs: DataFrame, small: int = SMALL, block: int = BLOCK, leng
     # the sets of the classes that are still in play
     hot = lists.where(F.col("df") > small)
     wanted = able.select(F.col("x").alias("no")).unionByName(able.select(F.col("y").alias("no"))).unionByName(hot.select("no")).distinct()
-    chosen = classes.select("no", "cid", "w", "rep").join(wanted, "no").join(shared.drop("hot"), "no")
-    with_text = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["rep"])).select("no", "cid", "n", "w", "shared", "df", "text")
-    payload = stored(with_text.mapInArrow(lambda batches: _payload(batches, length), PAYLOAD), "sets")
+    chosen = classes.select("no", "cid", "w", "row.*").join(wanted, "no").join(shared.drop("hot"), "no")
+    payload = stored(with_texts(docs, chosen).mapInArrow(lambda batches: _payload(batches, length), PAYLOAD), "sets")
 
     verified = able.join(side(payload, "x", "grams", "w"), "x").join(side(payload, "y", "grams", "w"), "y").mapInArrow(lambda batches: _verify(batches, link), "x long, y long, w_x long, w_y long")
-    links = stored(verified.distinct(), "verified")  # repeated rows bring a set twice
+    links = stored(verified, "verified")
     discard(able, shared)
 
     # long lists: pairs of blocks

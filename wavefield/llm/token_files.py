@@ -8,7 +8,7 @@ that Spark reaches will do. Positions are kept per file (`shard`); a reader adds
 totals from the metadata columns instead of a running sum over all rows.
 
 Defined results: a null or empty text is its end id alone; null ids come first; rows of one doc_id
-are ordered by text; an empty table gives an empty dataset; extra columns are ignored.
+are ordered by a hash of the text; an empty table gives an empty dataset; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +48,11 @@ def _writer(vocabulary: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
     """Encodes all documents and writes them under path, in ascending doc_id order over the shards."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # texts are shuffled, not ids: they are smaller
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # texts are shuffled, not ids: they are smaller. Ranges go by a hash of the text too, so that an id of very many rows
+    # is dealt to many tasks, and by the row's place, so that equal rows are; the keys that are sampled stay short
+    order = ["doc_id", "text_hash", "place"]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     options = {
         "parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true",
         "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "compression": "zstd",

@@ -7,7 +7,7 @@ good marginals, weighted by line length, is the document's score. Only documents
 the fit each line of a labelled document takes that document's label.
 
 Learned from: at most SAMPLE documents per label value, chosen by hash among labelled rows outside
-the held-out third; of a longer document FIT_LINES lines in a row, from a place chosen by hash. Weights undo the sampling. Scoring is one map
+the held-out third, 3 SAMPLE at most where ids repeat; of a longer document FIT_LINES lines in a row, from a place chosen by hash. Weights undo the sampling. Scoring is one map
 over the table, without a shuffle, in blocks of a few megabytes of text.
 
 Defined results: a null or empty text scores 0; a text of line feeds alone is scored by its empty
@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("good_") == 1, F.lit(min(1.0, SAMPLE / totals[1]))).otherwise(F.lit(min(1.0, SAMPLE / totals[0])))
-    picked = known.where(draw < share).limit(3 * SAMPLE)  # bounded by the limit, so it may be broadcast
+    # bounded, so it may be broadcast; only labels that repeat an id make it reach the bound
+    picked = known.where(draw < share).distinct().orderBy(draw, "good_").limit(3 * SAMPLE)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
                     [part.column("doc_id"), part.column("good_"), pa.array([x[begin[i] : min(begin[i] + FIT_LINES, at[i + 1])].tobytes() for i in keep], pa.binary())], ["doc_id", "good_", "x"]
                 )
 
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "good_", "text").mapInArrow(features, "doc_id long, good_ int, x binary").collect()
+    # rows may share an id: of all that are met, those of the least hashes
+    met = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "good_", "text").orderBy(F.xxhash64("doc_id", "text"), "good_").limit(3 * SAMPLE)
+    rows = met.mapInArrow(features, "doc_id long, good_ int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["good_"], bytes(r["x"])))
     if len({r["good_"] for r in rows}) < 2:
         return None

@@ -6,9 +6,8 @@ found by spherical k-means over a bounded sample of labelled rows; a text gets t
 centroid of the highest cosine, and is rejected (`accepted` false) where it lies further from it
 than nearly all rows that formed it. Prediction is one map over the table, without a shuffle.
 
-Learned from: about SAMPLE rows in all and SAMPLE_LANG per language, chosen by hash among rows
-with text and lang outside the held-out third, of the LANGUAGES most frequent values of lang; idf comes from
-the same sample.
+Learned from: about SAMPLE rows in all, SAMPLE_LANG at most and one at least per language, chosen by hash among rows
+with text and lang outside the held-out third; every value of lang is learned; idf comes from the same sample.
 
 Defined results: a null text, or one without any letter, is `und` with score 0; an empty table of
 labelled rows makes every text `und`; repeated rows are predicted one by one; extra columns are
@@ -25,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavefield.functions.shared import if_small
 from wavefield.llm.common import held_out, table
 from wavefield.llm.textbytes import blocks, joined
 
 DIMENSIONS, CENTROIDS = 4096, 4
-SAMPLE, SAMPLE_LANG, LANGUAGES = 4_000, 400, 200
+SAMPLE, SAMPLE_LANG = 4_000, 400
 #: A text is rejected beyond this many standard deviations from its centroid's mean distance.
 REJECT_SIGMAS = 6.0
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
@@ -92,16 +92,15 @@ def fit(vectors: np.ndarray, langs: np.ndarray, k: int = CENTROIDS) -> dict:
 
 def _sample(docs: DataFrame) -> DataFrame:
     usable = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {x["lang"]: x["n"] for x in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return usable.limit(0)
-    each = min(SAMPLE_LANG, max(1, SAMPLE // len(sizes)))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n_"))
+    n = sizes.count()
+    each = min(SAMPLE_LANG, max(1, SAMPLE // max(n, 1)))
     # enough more than each that no language is missed by chance
     wanted = each + 3 * each**0.5 + 3
-    shares = F.create_map(*[F.lit(y) for x, n in sizes.items() for y in (x, min(1.0, wanted / n))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.withColumn("draw_", draw).where(F.col("draw_") < F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0)))
-    return picked.dropDuplicates(["lang", "draw_"]).drop("draw_")
+    # one row a language: sent to every task if there are few
+    picked = usable.join(if_small(sizes), "lang").withColumn("draw_", draw).where(F.col("draw_") < F.lit(wanted) / F.col("n_"))
+    return picked.dropDuplicates(["lang", "draw_"]).select(*usable.columns)
 
 
 def train(docs: DataFrame) -> dict | None:

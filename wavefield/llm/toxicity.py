@@ -111,22 +111,29 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples of the k highest positive cosines, ties by number, and the cosines."""
-        bounds = weight @ self.most[term]
+        bounds, begin = weight @ self.most[term], self.begin[term]
         ids, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(ids) == k and bounds[b] < cosines[-1] - SLACK:
-                break
-            self.opened += 1
-            score = np.zeros(self.size)
-            for t, w in zip(term, weight, strict=True):
-                some = slice(self.begin[t, b], self.begin[t, b + 1])
-                score[self.ids[some] - b * self.size] += w * self.weights[some]
-            if without // self.size == b:
-                score[without % self.size] = 0
+        order = np.argsort(-bounds, kind="stable")
+        order, at, step = order[bounds[order] > 0], 0, 4
+        while at < len(order):  # some blocks at a time
+            some = order[at : at + step]
+            if len(ids) == k:
+                some = some[bounds[some] >= cosines[-1] - SLACK]
+                if not len(some):
+                    break  # so are all that follow
+            self.opened += len(some)
+            first, size = begin[:, some], begin[:, some + 1] - begin[:, some]
+            n = size.ravel()
+            posting = np.repeat(first.ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            slot = np.repeat(np.tile(np.arange(len(some)), len(term)), n)
+            place = self.ids[posting] + (slot - some[slot]) * self.size
+            score = np.bincount(place, weights=np.repeat(weight, size.sum(axis=1)) * self.weights[posting], minlength=len(some) * self.size)
+            score[np.flatnonzero(some == without // self.size) * self.size + without % self.size] = 0
             found = np.flatnonzero(score > 0)
-            ids, cosines = np.concatenate([ids, found + b * self.size]), np.concatenate([cosines, score[found]])
+            ids, cosines = np.concatenate([ids, some[found // self.size] * self.size + found % self.size]), np.concatenate([cosines, score[found]])
             best = np.lexsort((ids, -cosines))[:k]
             ids, cosines = ids[best], cosines[best]
+            at, step = at + step, 2 * step
         return ids, cosines
 
 

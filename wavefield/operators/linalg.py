@@ -20,6 +20,8 @@ WINDOW = ["video_id", "window_id"]
 FACTOR = "video_id string, window_id long, n int, re array<double>, im array<double>"
 #: Pixels of one window that a task holds together when modes are drawn.
 PIXELS = 16_384
+#: Windows of which a task keeps a factor or sum (64 KB for 64 frames) before it sends what it has on.
+OPEN_WINDOWS = 256
 
 
 def _complex(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -48,37 +50,55 @@ def _signals(series: DataFrame) -> DataFrame:
     return series.select(F.col("video_id").cast("string").alias("video_id"), F.col("window_id").cast("long").alias("window_id"), *names)
 
 
-def triangular(series: DataFrame) -> DataFrame:
+def _smaller(factor: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(x if factor is None else np.vstack([factor, x]), mode="r")
+
+
+def triangular(series: DataFrame, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """The R factor (n by n, rows one after the other) of each window's matrix: a QR step per batch of
-    pixels in each task, then one over the tasks' factors, streamed as well."""
+    pixels in each task, then one over the tasks' factors, window by window. Factors of one window can be merged
+    at any time, so a task that meets more than open_windows windows sends those it has and starts anew."""
 
-    def reduce(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                for key, x in take(batch):
-                    factors[key] = np.linalg.qr(np.vstack([factors[key], x]) if key in factors else x, mode="r")
+            for key, x in _by_window(batch) if batch.num_rows else ():
+                if key not in factors and len(factors) >= open_windows:
+                    yield _rows(factors)
+                    factors = {}
+                factors[key] = _smaller(factors.get(key), x)
         if factors:
             yield _rows(factors)
 
-    def stored(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
-        for i in range(batch.num_rows):
-            r = np.array(batch.column("re")[i].as_py()) + 1j * np.array(batch.column("im")[i].as_py())
-            yield (batch.column("video_id")[i].as_py(), batch.column("window_id")[i].as_py()), r.reshape(-1, batch.column("n")[i].as_py())
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, factor = None, None
+        for video, window, r in _factors(batches):
+            if (video, window) != last and last is not None:
+                yield _rows({last: factor})
+                factor = None
+            last, factor = (video, window), _smaller(factor, r)
+        if last is not None:
+            yield _rows({last: factor})
 
-    partial = _signals(series).mapInArrow(lambda b: reduce(b, _by_window), FACTOR)
-    return partial.repartition(*WINDOW).mapInArrow(lambda b: reduce(b, stored), FACTOR)
+    parts = _signals(series).mapInArrow(partial, FACTOR)
+    return parts.repartition(*WINDOW).sortWithinPartitions(*WINDOW).mapInArrow(whole, FACTOR)
 
 
-def gram(series: DataFrame) -> DataFrame:
-    """(i, j, re, im) of sum over pixels of conj(x_i) x_j, from one partial matrix per task and window."""
+def gram(series: DataFrame, open_windows: int = OPEN_WINDOWS) -> DataFrame:
+    """(i, j, re, im) of sum over pixels of conj(x_i) x_j, from partial matrices by task and window; a task
+    holds those of open_windows windows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                for key, x in _by_window(batch):
-                    sums[key] = sums.get(key, 0) + x.conj().T @ x
+            for key, x in _by_window(batch) if batch.num_rows else ():
+                if key not in sums and len(sums) >= open_windows:
+                    yield from rows(sums)
+                    sums = {}
+                sums[key] = sums.get(key, 0) + x.conj().T @ x
+        yield from rows(sums)
+
+    def rows(sums: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for (video, window), g in sums.items():
             n = len(g)
             i, j = np.divmod(np.arange(n * n), n)

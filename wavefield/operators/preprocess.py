@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavefield.functions.arrays import lists, matrix
@@ -20,11 +20,13 @@ from wavefield.functions.signal import amplitudes, analytic
 WINDOW = ["video_id", "window_id"]
 #: A window's pixels are dealt to so many keys where they meet figures of the whole window.
 PARTS = 32
+#: Windows of which a task keeps a spectrum before it sends what it has on.
+OPEN_WINDOWS = 10_000
 
 
-def to_series(frames: DataFrame, rows: int | None = None) -> DataFrame:
+def to_series(frames: DataFrame, rows: Column | int | None = None) -> DataFrame:
     """Long frames (video_id, window_id, frame, row, col, value) as series; pixel ids run down the columns
-    of an image of `rows` rows. NaN becomes null."""
+    of an image of `rows` rows (a number, or a column of frames). NaN becomes null."""
     pixel = F.col("pixel") if "pixel" in frames.columns else (F.col("col") * rows + F.col("row")).cast("long")
     value = F.when(~F.isnan("value"), F.col("value").cast("double"))
     ordered = F.array_sort(F.collect_list(F.struct("frame", value.alias("value"))))
@@ -96,9 +98,9 @@ def analytic_signal(series: DataFrame) -> DataFrame:
     return series.mapInArrow(run, ", ".join([*kept, "re array<double>", "im array<double>"]))
 
 
-def amplitude_spectrum(series: DataFrame, dt: float) -> DataFrame:
+def amplitude_spectrum(series: DataFrame, dt: float, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """Mean amplitude over the pixels of a window per frequency bin: bin, omega (rad/s), f (Hz),
-    amplitude. Tasks send one partial sum per window and bin."""
+    amplitude. Tasks send partial sums per window and bin, and hold those of open_windows windows at most."""
     is_complex = "re" in series.columns
     columns = ["re", "im"] if is_complex else ["v"]
 
@@ -114,11 +116,17 @@ def amplitude_spectrum(series: DataFrame, dt: float) -> DataFrame:
             which = np.array([codes[k] for k in keys])
             for key, i in codes.items():
                 own = a[which == i]
+                if key not in sums and len(sums) >= open_windows:
+                    yield rows(sums)
+                    sums = {}
                 part = sums.setdefault(key, [n, 0.0, 0])
                 part[1], part[2] = part[1] + own.sum(axis=0), part[2] + len(own)
-        rows = [(*k, j, n, float(y), count) for k, (n, total, count) in sums.items() for j, y in enumerate(total)]
-        if rows:
-            yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["video_id", "window_id", "bin", "n", "total", "pixels"])
+        if sums:
+            yield rows(sums)
+
+    def rows(sums: dict[tuple, list]) -> pa.RecordBatch:
+        each = [(*k, j, n, float(y), count) for k, (n, total, count) in sums.items() for j, y in enumerate(total)]
+        return pa.record_batch([pa.array(c) for c in zip(*each, strict=True)], ["video_id", "window_id", "bin", "n", "total", "pixels"])
 
     kinds = dict(series.dtypes)
     schema = f"video_id {kinds['video_id']}, window_id long, bin long, n long, total double, pixels long"

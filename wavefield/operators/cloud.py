@@ -4,10 +4,6 @@ of one cell and one omega. All steps group by (video_id, window_id, cell[, omega
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,40 +64,46 @@ def gamma_filter(points: DataFrame, low: float, high: float, kind: str = "diff")
     return _with_representative(points, kind).where((k > 0) & gamma.between(low, high)).drop("rx_", "ry_")
 
 
-_MOMENTS = [("kx", "kx"), ("kx", "ky"), ("kx", "omega"), ("ky", "ky"), ("ky", "omega"), ("omega", "omega")]
-
+def _principal(points: DataFrame) -> DataFrame:
+    """points with along2_: the squared projection of (kx, ky, omega) on the cell's principal axis, the
+    eigenvector of the largest eigenvalue of its uncentred second moments.
 
-def _axes(m: np.ndarray) -> np.ndarray:
-    """Principal axis of each row of moments (in the order of _MOMENTS)."""
-    return np.linalg.eigh(m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))[1][:, :, 2]
+    With eigenvalues h1 >= h2 >= h3 of the moments M, (M - h2)(M - h3) / ((h1 - h2)(h1 - h3)) projects on the axis.
+    They come in closed form: h = q + 2 s cos(angle), for q a third of the trace and s the root of a sixth of the
+    sum of squares of M - q."""
+    cell = Window.partitionBy(*CELL)
+    names = {"a": ("kx", "kx"), "b": ("kx", "ky"), "c": ("kx", "omega"), "d": ("ky", "ky"), "e": ("ky", "omega"), "f": ("omega", "omega")}
+    c = {n: F.col(f"{n}_") for n in [*names, *"qsrgh", "h1", "h2", "h3"]}
+    out = points.withColumns({f"{n}_": F.sum(F.col(x) * F.col(y)).over(cell) for n, (x, y) in names.items()})
+    out = out.withColumn("q_", (c["a"] + c["d"] + c["f"]) / 3)
+    out = out.withColumns({f"{n}_": c[n] - c["q"] for n in "adf"})
+    out = out.withColumn("s_", F.sqrt((c["a"] * c["a"] + c["d"] * c["d"] + c["f"] * c["f"] + 2 * (c["b"] * c["b"] + c["c"] * c["c"] + c["e"] * c["e"])) / 6))
+    det = c["a"] * (c["d"] * c["f"] - c["e"] * c["e"]) - c["b"] * (c["b"] * c["f"] - c["e"] * c["c"]) + c["c"] * (c["b"] * c["e"] - c["d"] * c["c"])
+    out = out.withColumn("r_", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(c["s"] > 0, det / (2 * c["s"] * c["s"] * c["s"])).otherwise(1.0)))) / 3)
+    # eigenvalues of M - q
+    out = out.withColumn("h1_", 2 * c["s"] * F.cos("r_")).withColumn("h3_", 2 * c["s"] * F.cos(c["r"] + 2 * math.pi / 3))
+    out = out.withColumn("h2_", -c["h1"] - c["h3"])
+    # (M - q - h3) p, then p' (M - q - h2) of that
+    p = [F.col(x) for x in ("kx", "ky", "omega")]
+    rows = [(c["a"], c["b"], c["c"]), (c["b"], c["d"], c["e"]), (c["c"], c["e"], c["f"])]
+    out = out.withColumns({f"y{i}_": sum((rows[i][j] * p[j] for j in range(3)), -c["h3"] * p[i]) for i in range(3)})
+    y = [F.col(f"y{i}_") for i in range(3)]
+    product = sum(((sum((rows[i][j] * p[j] for j in range(3)), -c["h2"] * p[i])) * y[i] for i in range(3)), F.lit(0.0))
+    gap = (c["h1"] - c["h2"]) * (c["h1"] - c["h3"])
+    return out.withColumn("along2_", F.when(gap > 0, product / gap).otherwise(sum((x * x for x in p), F.lit(0.0)))).drop(*[f"{n}_" for n in [*names, "q", "s", "r", "h1", "h2", "h3", "y0", "y1", "y2"]])
 
 
 def direction_filter(points: DataFrame, reflect: bool = False, layers: int = 0) -> DataFrame:
     """In cells of at least so many layers, without the points whose projection on the cell's principal
-    axis (largest uncentred spread of kx, ky, omega) is below their omega; or, to reflect, with (kx, ky) of
-    those turned round."""
-    cell = Window.partitionBy(*CELL)
-    moments = F.array(*[F.sum(F.col(a) * F.col(b)).over(cell) for a, b in _MOMENTS])
-    with_m = points.withColumn("m_", moments).withColumn("n_", F.size(F.collect_set("omega").over(cell)))
-    kept = [f"{n} {t}" for n, t in points.dtypes]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = batch.column("m_").flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)
-            distinct, which = np.unique(m, axis=0, return_inverse=True)
-            axes = _axes(distinct)[which.ravel()]
-            p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("kx", "ky", "omega")], axis=1)
-            off = (np.abs((p * axes).sum(axis=1)) < p[:, 2]) & (batch.column("n_").to_numpy() >= layers)
-            names = [n for n in batch.schema.names if n not in ("m_", "n_")]
-            if reflect:
-                turned = {c: pa.array(np.where(off, -p[:, i], p[:, i])) for i, c in enumerate(("kx", "ky"))}
-                yield pa.record_batch([turned.get(n, batch.column(n)) for n in names], names)
-            else:
-                yield batch.select(names).filter(pa.array(~off))
-
-    return with_m.mapInArrow(run, ", ".join(kept))
+    axis (largest uncentred spread of kx, ky, omega) is below their omega, but for rounding; or, to reflect, with
+    (kx, ky) of those turned round."""
+    with_axis = _principal(points).withColumn("n_", F.size(F.collect_set("omega").over(Window.partitionBy(*CELL))))
+    off = (F.col("along2_") < F.col("omega") * F.col("omega") * (1 - 1e-12)) & (F.col("n_") >= layers)
+    if reflect:
+        with_axis = with_axis.withColumn("off_", off).withColumns({c: F.when(F.col("off_"), -F.col(c)).otherwise(F.col(c)) for c in ("kx", "ky")}).drop("off_")
+    else:
+        with_axis = with_axis.where(~off)
+    return with_axis.drop("along2_", "n_")
 
 
 def count_layers(points: DataFrame) -> DataFrame:
@@ -116,13 +118,18 @@ def layer_gate(points: DataFrame, layers: int = 3) -> DataFrame:
 
 def filter_cloud(points: DataFrame, kind: str = "diff", limits: tuple[float, float] = (0.3, 1.0), reflect: bool = False) -> DataFrame:
     """Directions (cells of more than 4 layers), a wide Gamma filter, directions (3 layers or more), the
-    Gamma limits, points without k; what is left comes as points. Cells are dealt out once; a map into
-    Python hides that from the planner, so each part after one deals out again."""
+    Gamma limits, points without k; what is left comes as points. Cells are dealt out once, and all steps are
+    column expressions over that distribution."""
     step = direction_filter(points, reflect, 5)
     step = direction_filter(gamma_filter(step, 0.0, 1.5, kind), reflect, 3)
     return gamma_filter(step, *limits, kind).where(norm() > 0)
 
 
+def enough_points(points: DataFrame, least: int = 3) -> DataFrame:
+    """Points of cells that have so many: fewer are not fitted, however many layers they are of."""
+    return points.withColumn("n_", F.count("*").over(Window.partitionBy(*CELL))).where(F.col("n_") >= least).drop("n_")
+
+
 def cloud_status(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per cell of before: 1 nothing left, 2 under 3 layers, 3 under 3 points, else 0."""
     counts = before.select(*CELL).distinct().join(count_layers(after), CELL, "left")
@@ -169,10 +176,10 @@ def binned_phase_speed(points: DataFrame) -> DataFrame:
     return sums.select(*key, (F.col("sx") / F.col("v1")).alias("cx"), (F.col("sy") / F.col("v1")).alias("cy"), var("qx").alias("var_cx"), var("qy").alias("var_cy"))
 
 
-def store_points(points: DataFrame, layers: DataFrame) -> DataFrame:
-    """The points of the layers that the first filter left (layers: rows with the layer key)."""
+def store_points(filtered: DataFrame, kind: str = "diff") -> DataFrame:
+    """What later windows get of a cloud that the first filter has left: one representative of each layer."""
     finite = F.col("kx").isNotNull() & F.col("ky").isNotNull() & ~F.isnan("kx") & ~F.isnan("ky")
-    return points.where(finite).join(layers.select(*LAYER).distinct(), LAYER, "left_semi")
+    return layer_representative(filtered, kind).where(finite)
 
 
 def layers_per_cell(points: DataFrame, windows: DataFrame, cells: int) -> DataFrame:

@@ -37,6 +37,11 @@ def c5_filter_cloud(spark, d):
     return cloud.cloud_status(p, cloud.filter_cloud(p)).select(*CELL, "status")
 
 
+def c5_filtered_points(spark, d):
+    p = cloud.filter_cloud(points(spark, d)).groupBy(*CELL).agg(F.count("*").alias("n"), F.count_distinct("omega").alias("n_layers"), F.sum("kx").alias("kx"), F.sum("ky").alias("ky"))
+    return rounded(p, [*CELL, "n", "n_layers"], kx=6, ky=6)
+
+
 def _kernel(spark):
     return neighbours.disc_kernel(spark, RADIUS, SPACING)
 
@@ -101,8 +106,7 @@ def c15_binned_phase_speed(spark, d):
 
 
 def c16_store_points(spark, d):
-    p = points(spark, d)
-    return rounded(cloud.store_points(p, cloud.gamma_filter(p, 0.3, 1.0)).groupBy(*CELL).agg(F.count("*").alias("n"), F.sum("ky").alias("ky")), [*CELL, "n"], ky=4)
+    return rounded(cloud.store_points(cloud.gamma_filter(points(spark, d), 0.3, 1.0)).groupBy(*CELL).agg(F.count("*").alias("n"), F.sum("ky").alias("ky")), [*CELL, "n"], ky=4)
 
 
 def f1_depth_seed(spark, d):
@@ -208,13 +212,14 @@ ORACLES = {
     "c4_direction_filter": "WITH RECURSIVE " + POINTS_SQL + ", " + _direction_sql("pts", "s1") + " SELECT window_id, cell, count(*) AS n FROM s1 GROUP BY window_id, cell",
     "c5_filter_cloud": "WITH RECURSIVE " + POINTS_SQL + ", " + _STEPS + f""", n AS (SELECT window_id, cell, count(*) AS n, count(DISTINCT omega) AS l FROM s4 WHERE {_G} > 0 GROUP BY window_id, cell)
       SELECT window_id, cell, CASE WHEN n IS NULL THEN 1 WHEN l < 3 THEN 2 WHEN n < 3 THEN 3 ELSE 0 END::INTEGER AS status FROM (SELECT DISTINCT window_id, cell FROM pts) LEFT JOIN n USING (window_id, cell)""",
+    "c5_filtered_points": "WITH RECURSIVE " + POINTS_SQL + ", " + _STEPS + f" SELECT window_id, cell, count(*) AS n, count(DISTINCT omega) AS n_layers, round(sum(kx), 6) + 0.0 AS kx, round(sum(ky), 6) + 0.0 AS ky FROM s4 WHERE {_G} > 0 GROUP BY window_id, cell",
     "c1_representative_same": _WITH + ", rep AS (SELECT window_id, cell, omega, median(kx) AS kx, median(ky) AS ky, median(w) AS w FROM pts GROUP BY window_id, cell, omega) SELECT window_id, cell, " + _R + " FROM rep",
     "c1_representative_diff": _WITH + "," + _DIFF + " SELECT window_id, cell, " + _R + " FROM rep",
     "c1_representative_best": _WITH + ", rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id, cell, omega ORDER BY w DESC, kx DESC, ky DESC) AS rn FROM pts) WHERE rn = 1) SELECT window_id, cell, " + _R + " FROM rep",
     "c2_phase_velocity": _WITH + " SELECT window_id, cell, round(sum(omega * kx / (kx * kx + ky * ky)), 3) + 0.0 AS cx, round(sum(omega * ky / (kx * kx + ky * ky)), 3) + 0.0 AS cy FROM pts GROUP BY window_id, cell",
     "f8_flip_sign": _WITH + " SELECT window_id, cell, round(-sum(omega * kx / (kx * kx + ky * ky)), 3) + 0.0 AS cx, round(-sum(omega * ky / (kx * kx + ky * ky)), 3) + 0.0 AS cy FROM pts GROUP BY window_id, cell",
     "c3_gamma_filter": _GAMMA + " SELECT window_id, cell, count(*) AS n, round(sum(kx), 4) + 0.0 AS kx FROM pts JOIN good USING (window_id, cell, omega) GROUP BY window_id, cell",
-    "c16_store_points": _GAMMA + " SELECT window_id, cell, count(*) AS n, round(sum(ky), 4) + 0.0 AS ky FROM pts JOIN good USING (window_id, cell, omega) GROUP BY window_id, cell",
+    "c16_store_points": _GAMMA + " SELECT window_id, cell, count(*) AS n, round(sum(ky), 4) + 0.0 AS ky FROM rep JOIN good USING (window_id, cell, omega) GROUP BY window_id, cell",
     "c6_disc_kernel": "WITH " + _KERNEL.format(h=2, r2=625) + ", " + CELLS_SQL + " SELECT cell, dr, dc FROM cells, k",
     "c7_sample_kernel": _WITH + ", " + _KERNEL.format(h=2, r2=625) + ", q AS (SELECT window_id, dr, dc, row_number() OVER (PARTITION BY window_id ORDER BY md5(concat_ws('/', '5', 'li', window_id::VARCHAR, dr::VARCHAR, dc::VARCHAR))) AS rn FROM (SELECT DISTINCT window_id FROM pts), k WHERE dr >= 0 AND dc > 0), p AS (SELECT * FROM q WHERE rn <= 2) SELECT window_id, dr, dc FROM p UNION ALL SELECT window_id, -dc, dr FROM p UNION ALL SELECT window_id, -dr, -dc FROM p UNION ALL SELECT window_id, dc, -dr FROM p",
     "c8_neighbour_cells": "WITH " + _KERNEL.format(h=2, r2=625) + ", " + _PAIRS + " SELECT cell, neighbour FROM nb",
@@ -251,7 +256,7 @@ ORACLES = {
 QUERIES = {f"c1_representative_{k}": _rep(k) for k in ("same", "diff", "best")} | {
     q.__name__: q
     for q in (
-        c2_phase_velocity, c3_gamma_filter, c4_direction_filter, c5_filter_cloud, c6_disc_kernel, c7_sample_kernel, c8_neighbour_cells, c9_recent_points, c10_combine_points, c11_layer_gate,
+        c2_phase_velocity, c3_gamma_filter, c4_direction_filter, c5_filter_cloud, c5_filtered_points, c6_disc_kernel, c7_sample_kernel, c8_neighbour_cells, c9_recent_points, c10_combine_points, c11_layer_gate,
         c12_layer_weights, c13_period_bins, c14_nearest_bin, c15_binned_phase_speed, c16_store_points, f1_depth_seed, f2_dispersion, f3_fit_depth, f4_fit_depth_current, f5_fit_softbound, f6_fit_confidence,
         f7_fit_quality, f8_flip_sign, k5_combine_estimates, k6_collect_cloud, v3_layers_per_cell, v4_thin_vectors,
     )

@@ -63,4 +63,5 @@ def mask_polygon(frames: DataFrame, polygon: list[tuple[float, float]], dx: floa
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("video_id").parquet(path)
+    """Writes rows by video: what path held of these videos is replaced, other videos' results stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words that the alignment may run ahead or behind, and pairs that are looked at together.
-BAND, PAIRS = 10, 1_024
+#: Words that the alignment may run ahead or behind; pairs that are looked at together, and their words by the longest.
+BAND, PAIRS, WORDS = 10, 1_024, 1 << 18
 _FAR = 1 << 28
 
 
@@ -17,9 +17,11 @@ def word_bounds(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
     out = np.full(len(a), _FAR)
     able = np.flatnonzero((np.abs(m - n) <= BAND) & (m > 0) & (n > 0))
     able = able[np.argsort(-m[able], kind="stable")]
-    for at in range(0, len(able), PAIRS):
-        some = able[at : at + PAIRS]
+    at = 0
+    while at < len(able):  # of long lines fewer
+        some = able[at : at + min(PAIRS, max(1, WORDS // (int(m[able[at]]) + 2 * BAND)))]
         out[some] = _aligned([a[i] for i in some], [b[i] for i in some], m[some], n[some])
+        at += len(some)
     return out
 
 

@@ -53,6 +53,8 @@ HAMMING_WORDS = 16
 DROP_WORDS, SHINGLE, HASHES = 8, 4, 4
 MAX_WEIGHT = 14
 SMALL, BLOCK = 16, 512
+#: Bytes of texts that a task scans together.
+BYTES = 2 << 20
 #: First bit and width of the SimHash's blocks.
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
 LINES = "doc_id long, text_id long, line_no int, line_id long, simhash long, n_words int, size int, parts array<long>"
@@ -201,7 +203,7 @@ def line_table(run: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, run in blocks(_lowered(batch.column("text"))):
+        for first, run in blocks(_lowered(batch.column("text")), BYTES):
             scan = _Scan(run)
             mine = pa.array(scan.text + first)
             yield pa.record_batch(
@@ -216,7 +218,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table_of = _NORMAL.tobytes()
     for batch in batches:
         wanted = batch.column("wanted").to_pylist()
-        for first, run in blocks(_lowered(batch.column("text"))):
+        for first, run in blocks(_lowered(batch.column("text")), BYTES):
             numbers, ids, forms = [], [], []
             for i, data in enumerate(run):
                 lines = data.split(b"\n")
@@ -316,9 +318,10 @@ def _cell(key: tuple, group: pa.Table) -> pa.Table:
         x = x[x < key[0].as_py()]
         keys[i, : len(x)] = x
     mine = np.ones(len(left), bool)
-    for c in range(0, len(left), 4_096):
-        x, y = keys[left[c : c + 4_096]], keys[right[c : c + 4_096]]
-        mine[c : c + 4_096] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != np.iinfo(np.int64).min)).any(axis=(1, 2))
+    at_once = max(1, min(4_096, (1 << 22) // max(1, keys.shape[1]) ** 2))
+    for c in range(0, len(left), at_once):
+        x, y = keys[left[c : c + at_once]], keys[right[c : c + at_once]]
+        mine[c : c + at_once] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != np.iinfo(np.int64).min)).any(axis=(1, 2))
     left, right, differ = left[mine], right[mine], differ[mine]
     # the likeliest first, so that links spare the others of their group
     order, found, at_once = np.argsort(differ, kind="stable"), [], 64

@@ -2,38 +2,35 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+import functools
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAMES = "video_id string, frame int, row int, col int, value double"
+from wavefield.sources.stacks import StackSource
 
 
-def read_frames(spark: SparkSession, path: str, fmt: str = "parquet", array: str = "ImgSequence", rows: int = 100_000) -> DataFrame:
-    """Long frames from Parquet in that layout, or from .npz files that hold a stack (row, col, frame);
-    a file is one video named after it, and is emitted in pieces of `rows` rows."""
+def read_frames(spark: SparkSession, path: str, fmt: str = "parquet", array: str = "ImgSequence", rows: int = 100_000, keep: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Long frames from Parquet in that layout, or from .npy and .npz files that hold a stack (row, col, frame); a file is one
+    video named after it. keep: of which rows, cols and frames (row, col, frame: from, to before) values are read at all. Stacks of any
+    size are read by many tasks, in batches of about `rows` values; a compressed member of a file is read by one."""
+    keep = keep or {}
     if fmt == "parquet":
-        return spark.read.parquet(path).select("video_id", "frame", "row", "col", F.col("value").cast("double").alias("value"))
-    if fmt != "npz":
+        inside = [(F.col(x) >= start) & (F.col(x) < stop) for x, (start, stop) in keep.items()]
+        frames = spark.read.parquet(path).select("video_id", "frame", "row", "col", F.col("value").cast("double").alias("value"))
+        return frames.where(functools.reduce(Column.__and__, inside, F.lit(True)))
+    if fmt not in ("npz", "npy"):
         raise ValueError(f"unknown format {fmt!r}")
+    spark.dataSource.register(StackSource)
+    bounds = {f"{x}_{end}": v for x, pair in keep.items() for end, v in zip(("from", "to"), pair, strict=True)}
+    return spark.read.format("wave_stack").options(array=array, batch_values=rows, **bounds).load(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                stack = np.load(io.BytesIO(content.as_py()), allow_pickle=False)[array]
-                m, n, length = stack.shape
-                name = file.rsplit("/", 1)[-1].removesuffix(".npz")
-                for at in range(0, m * n * length, rows):
-                    i = np.arange(at, min(at + rows, m * n * length))
-                    r, c, k = np.unravel_index(i, (m, n, length))
-                    columns = [pa.array([name] * len(i)), *[pa.array(x, pa.int32()) for x in (k, r, c)], pa.array(stack.reshape(-1)[i].astype(float))]
-                    yield pa.record_batch(columns, ["video_id", "frame", "row", "col", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, FRAMES)
+
+def read_meta(spark: SparkSession, path: str, array: str = "ImgSequence", dx: str = "dx", dt: str = "dt", x: str = "X", y: str = "Y") -> DataFrame:
+    """video_meta of .npy and .npz files: the stack's size and, from arrays of these names, the pixel size, the time between frames
+    and the place of the first pixel (null where a file has no such array). Only headers and first values are read."""
+    spark.dataSource.register(StackSource)
+    return spark.read.format("wave_stack").options(geometry="true", array=array, dx=dx, dt=dt, x=x, y=y).load(path)
 
 
 def crop_stride(frames: DataFrame, startx: int, stopx: int, starty: int, stopy: int, step: int = 1) -> DataFrame:

@@ -86,14 +86,14 @@ def g6_mask_cells(spark, d):
 def g7_k_tile_estimates(spark, d):
     """Estimates on images drawn from the embeddings: each pair of samples is a mode, and tiles of 16 by 16 lie
     on a grid over all columns of the image."""
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(F.get("v", 4 * k).alias("re"), F.coalesce(F.get("v", 4 * k + 1), F.lit(0.0)).alias("im")))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get("v", 2 * k).alias("re"), F.coalesce(F.get("v", 2 * k + 1), F.lit(0.0)).alias("im")))
     s = pixel_series(spark, d).where(F.col("window_id").isNotNull()).select("row", "col", F.posexplode(pairs).alias("mode", "z"))
     p = s.select(F.lit("emb").alias("video_id"), F.lit(0).cast("long").alias("window_id"), "mode", "row", "col", F.coalesce("z.re", F.lit(0.0)).alias("re"), "z.im")
     # centres whose tile lies inside the 25 rows and the columns that there are
     last = p.groupBy("video_id", "window_id", "mode").agg(F.max("col").cast("int").alias("last"))
     col = F.explode(F.expr("CASE WHEN last >= 15 THEN sequence(8, last - 7, 4) ELSE array() END")).alias("px_col")
     t = last.select("video_id", "window_id", "mode", col).select("*", F.explode(F.array(F.lit(8), F.lit(12), F.lit(16))).alias("px_row"))
-    t = t.select("*", (F.col("px_row") * 100_000 + F.col("px_col")).cast("long").alias("cell"), (F.lit(0.6) + F.col("mode") / 20).alias("omega"), F.lit(1.0).alias("dx"), F.lit(16).alias("size_v"), F.lit(16).alias("size_h"), F.lit(1.0).alias("step"))
+    t = t.select("*", (F.col("px_row") * 100_000 + F.col("px_col")).cast("long").alias("cell"), (F.lit(0.6) + F.col("mode") / 40).alias("omega"), F.lit(1.0).alias("dx"), F.lit(16).alias("size_v"), F.lit(16).alias("size_h"), F.lit(1.0).alias("step"))
     e = tiles.tile_estimates(p, t)
     return rounded(e.select("cell", "omega", F.col("kx")[0].alias("kx"), "e_fft", "cx", "cy", "e_piv"), ["cell"], omega=4, kx=4, e_fft=3, cx=2, cy=2, e_piv=3)
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from wavefield.functions.modefit import marchenko_pastur_median, rank_threshold
+from wavefield.functions.shared import if_small
 from wavefield.operators import linalg, modes, preprocess, windows
 from wavefield.plans.adapters import DT, SERIES_SQL, good_series, pixel_series, rounded
 
@@ -138,12 +139,14 @@ def d8_mode_weights(spark, d):
 
 
 def _pixels(spark, d):
-    """Samples 0 and 1 of each pixel as the real and imaginary part of one mode's image."""
-    return pixel_series(spark, d).select("video_id", F.lit(0).cast("long").alias("window_id"), F.lit(0).alias("mode"), "pixel", "row", "col", F.col("v")[0].alias("re"), F.col("v")[1].alias("im"))
+    """Each pair of samples of a pixel as the real and imaginary part of a mode's image."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get("v", 2 * k).alias("re"), F.get("v", 2 * k + 1).alias("im")))
+    p = pixel_series(spark, d).select("video_id", F.lit(0).cast("long").alias("window_id"), "pixel", "row", "col", F.posexplode(pairs).alias("mode", "z"))
+    return p.select("video_id", "window_id", "mode", "pixel", "row", "col", "z.re", "z.im")
 
 
 def d13_phase_image(spark, d):
-    return rounded(modes.phase_image(_pixels(spark, d)), ["pixel"], re=6, im=6)
+    return rounded(modes.phase_image(_pixels(spark, d)), ["pixel", F.col("mode").cast("long").alias("mode")], re=6, im=6)
 
 
 def d14_unstack_pixels(spark, d):
@@ -152,16 +155,23 @@ def d14_unstack_pixels(spark, d):
 
 def d15_smooth_modes(spark, d):
     p = _pixels(spark, d)
-    n = p.agg(F.max("col")).first()[0] + 1
-    return rounded(modes.smooth_modes(p, 25, n), [F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")], re=5, im=5)
+    width = pixel_series(spark, d).groupBy("video_id").agg((F.max("col") + 1).alias("width"))
+    smooth = modes.smooth_modes(p.join(if_small(width), "video_id"), 25, F.col("width"))
+    return rounded(smooth, [F.col("mode").cast("long").alias("mode"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")], re=5, im=5)
 
 
 _DFT = """
 dft AS (SELECT window_id, pixel, k, sqrt(pow(sum(x * cos(2 * pi() * k * frame / 64)), 2) + pow(sum(x * sin(2 * pi() * k * frame / 64)), 2)) * 2 / 64 AS a
         FROM good, (SELECT unnest(range(0, 33)) AS k) GROUP BY window_id, pixel, k)"""
-_SMOOTH = """, {out} AS (SELECT t.row, t.col, sum(s.re * o.w) AS re, sum(s.im * o.w) AS im
+_PAIRS = "max(x) FILTER (WHERE frame % 2 = 0) AS re, max(x) FILTER (WHERE frame % 2 = 1) AS im"
+_SMOOTH = """, {out} AS (SELECT t.mode, t.row, t.col, sum(s.re * o.w) AS re, sum(s.im * o.w) AS im
   FROM {src} t, (VALUES (0, 0, 4.0), (-1, 0, 1.0), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0)) o(r, c, w), dims
-  JOIN {src} s ON true WHERE s.row = greatest(0, least(24, t.row + o.r)) AND s.col = greatest(0, least(dims.n - 1, t.col + o.c)) GROUP BY t.row, t.col)"""
+  JOIN {src} s ON true WHERE s.mode = t.mode AND s.row = greatest(0, least(24, t.row + o.r)) AND s.col = greatest(0, least(dims.n - 1, t.col + o.c)) GROUP BY t.mode, t.row, t.col)"""
+
+
+def _unit(digits):
+    return ", ".join(f"round(CASE WHEN re * re + im * im > 0 THEN {c} / sqrt(re * re + im * im) ELSE 0 END, {digits}) + 0.0 AS {c}" for c in ("re", "im"))
+
 
 ORACLES = {
     "p1_to_series": SERIES_SQL + " SELECT window_id, pixel, count(*) AS n, round(sum(coalesce(x, 0)), 5) + 0.0 AS total, round(max(x) FILTER (WHERE frame = 0), 5) + 0.0 AS first, round(max(x) FILTER (WHERE frame = 63), 5) + 0.0 AS last FROM px GROUP BY window_id, pixel",
@@ -185,10 +195,10 @@ ORACLES = {
     "d3_project": SERIES_SQL + " SELECT window_id, frame, round(sum(x * x), 4) + 0.0 AS energy FROM good GROUP BY window_id, frame",
     "d4_optimal_rank": SERIES_SQL + f", s AS (SELECT window_id, frame, sqrt(sum(x * x)) AS sv FROM good GROUP BY window_id, frame), c AS (SELECT window_id, median(sv) * {rank_threshold(0.5) / math.sqrt(marchenko_pastur_median(0.5))!r}::DOUBLE AS cutoff FROM s GROUP BY window_id) SELECT window_id, count(*) FILTER (WHERE sv > cutoff) AS rank, round(cutoff, 4) + 0.0 AS cutoff FROM s JOIN c USING (window_id) GROUP BY window_id, cutoff",
     "w4_good_windows": SERIES_SQL + " SELECT DISTINCT window_id, 8::BIGINT AS n FROM good WHERE window_id % 4 <> 3",
-    "d13_phase_image": SERIES_SQL + ", w AS (SELECT pixel, max(x) FILTER (WHERE frame = 0) AS re, max(x) FILTER (WHERE frame = 1) AS im FROM px GROUP BY pixel) SELECT pixel, round(CASE WHEN re = 0 AND im = 0 THEN 0 ELSE re / sqrt(re * re + im * im) END, 6) + 0.0 AS re, round(CASE WHEN re = 0 AND im = 0 THEN 0 ELSE im / sqrt(re * re + im * im) END, 6) + 0.0 AS im FROM w",
+    "d13_phase_image": SERIES_SQL + f", w AS (SELECT pixel, frame // 2 AS mode, {_PAIRS} FROM px GROUP BY pixel, frame // 2) SELECT pixel, mode, {_unit(6)} FROM w",
     "d14_unstack_pixels": "SELECT vec_id AS pixel, vec_id % 25 AS row, vec_id // 25 AS col FROM embeddings",
-    "d15_smooth_modes": SERIES_SQL + ", s0 AS (SELECT (pixel % 25)::INTEGER AS row, (pixel // 25)::INTEGER AS col, max(x) FILTER (WHERE frame = 0) AS re, max(x) FILTER (WHERE frame = 1) AS im FROM px GROUP BY pixel), dims AS (SELECT max(col) + 1 AS n FROM s0)"
-    + _SMOOTH.format(out="s1", src="s0") + _SMOOTH.format(out="s2", src="s1") + " SELECT row::BIGINT AS row, col::BIGINT AS col, round(CASE WHEN re = 0 AND im = 0 THEN 0 ELSE re / sqrt(re * re + im * im) END, 5) + 0.0 AS re, round(CASE WHEN re = 0 AND im = 0 THEN 0 ELSE im / sqrt(re * re + im * im) END, 5) + 0.0 AS im FROM s2",
+    "d15_smooth_modes": SERIES_SQL + f", s0 AS (SELECT frame // 2 AS mode, (pixel % 25)::INTEGER AS row, (pixel // 25)::INTEGER AS col, {_PAIRS} FROM px GROUP BY pixel, frame // 2), dims AS (SELECT max(col) + 1 AS n FROM s0)"
+    + _SMOOTH.format(out="s1", src="s0") + _SMOOTH.format(out="s2", src="s1") + f" SELECT mode, row::BIGINT AS row, col::BIGINT AS col, {_unit(5)} FROM s2",
 }
 
 QUERIES = {

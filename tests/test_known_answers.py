@@ -70,6 +70,44 @@ def test_frequencies_of_exponentials(spark):
     assert drawn.count() == 9 * 80
 
 
+def test_warm_start_from_windows_before(spark):
+    """Windows fitted one at a time, each from what the ones before left, as those of a video walked at once."""
+    dt = 0.5
+    rng = np.random.default_rng(5)
+    z = _waves(spark, rng, np.array([0.6, 0.9, 1.4]), dt, 40, 3)
+    noisy = z.withColumns({c: F.transform(c, lambda x, i: x + F.sin(F.col("pixel") * 7.3 + i * i * 1.7 + F.col("window_id")) / 5) for c in ("re", "im")})
+    basis = linalg.tall_svd(linalg.triangular(noisy), 3).cache()
+    whole = {(r["window_id"], r["mode"]): (r["alpha_re"], r["alpha_im"]) for r in linalg.fit_modes(basis, dt, init="warm", stacked=False).collect()}
+    starts, got, cold = None, {}, linalg.fit_modes(basis, dt, stacked=False).collect()
+    for w in range(3):
+        fitted = linalg.fit_modes(basis.where(F.col("window_id") == w), dt, init="warm", stacked=False, starts=starts)
+        got |= {(r["window_id"], r["mode"]): (r["alpha_re"], r["alpha_im"]) for r in fitted.collect()}
+        starts = linalg.last_frequencies(fitted)
+        assert starts.collect() == [("a", [got[w, i][0] for i in range(3)], [got[w, i][1] for i in range(3)])]
+    assert got.keys() == whole.keys() and len(got) == 9
+    assert np.allclose([got[k] for k in whole], list(whole.values()), atol=1e-9)
+    # starts are where the fit begins: from far off it ends elsewhere
+    far = starts.withColumn("first_im", F.transform("first_im", lambda x: x + 2.5))
+    elsewhere = linalg.fit_modes(basis.where("window_id = 1"), dt, init="warm", stacked=False, starts=far).collect()
+    assert not np.allclose(sorted(r["alpha_im"] for r in elsewhere), sorted(whole[1, i][1] for i in range(3)), atol=1e-2)
+    # windows that failed leave no frequencies, and other videos start afresh
+    failed = fitted.withColumn("status", F.lit("failed"))
+    assert linalg.last_frequencies(failed).count() == 0
+    other = linalg.fit_modes(basis.where("window_id = 1"), dt, init="warm", stacked=False, starts=starts.withColumn("video_id", F.lit("b"))).collect()
+    assert {(r["alpha_re"], r["alpha_im"]) for r in other} == {(r["alpha_re"], r["alpha_im"]) for r in cold if r["window_id"] == 1}
+
+
+def test_frames_numbered_over_ranges(spark):
+    rng = np.random.default_rng(1)
+    at = {v: sorted(rng.choice(10**6, n, replace=False).tolist()) for v, n in (("a", 5000), ("b", 3), (None, 700))}
+    rows = [(v, t, i) for v, times in at.items() for i, t in enumerate(times)]
+    rng.shuffle(rows)
+    feed = spark.createDataFrame([(v if v != "None" else None, int(t), int(i)) for v, t, i in rows], "video_id string, at long, expected int").repartition(5)
+    got = preprocess.frame_rank(feed)
+    assert got.columns == ["video_id", "at", "expected", "frame"] and dict(got.dtypes)["frame"] == "int"
+    assert got.count() == 5703 and got.where("frame <> expected").count() == 0
+
+
 def test_a_window_that_fails_leaves_the_others(spark):
     dt = 0.5
     z = _waves(spark, np.random.default_rng(3), np.array([0.7, 1.1]), dt, 32, 2)

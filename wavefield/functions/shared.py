@@ -17,6 +17,14 @@ def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder: several later steps start from it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a local session without that setting (a test) gets a
     temporary one of the machine, any other is an error."""

@@ -6,6 +6,7 @@ per pixel follows from its factor, one small row per window.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,12 +202,22 @@ def initial_frequencies(basis: DataFrame, dt: float, method: str = "nonequidista
     return basis.mapInArrow(run, schema)
 
 
-def fit_modes(basis: DataFrame, dt: float, mode: str = "standard", init: str = "cold", stacked: bool = True, method: str = "nonequidistant") -> DataFrame:
+def last_frequencies(modes: DataFrame) -> DataFrame:
+    """starts(video_id, first_re, first_im): the frequencies of each video's newest window that could be fitted."""
+    mine = modes.where(F.col("status") == "ok").groupBy(*WINDOW).agg(F.array_sort(F.collect_list(F.struct("mode", "alpha_re", "alpha_im"))).alias("m"))
+    newest = mine.groupBy("video_id").agg(F.max_by("m", "window_id").alias("m"))
+    return newest.select("video_id", F.col("m.alpha_re").alias("first_re"), F.col("m.alpha_im").alias("first_im"))
+
+
+def fit_modes(basis: DataFrame, dt: float, mode: str = "standard", init: str = "cold", stacked: bool = True, method: str = "nonequidistant", starts: DataFrame | None = None) -> DataFrame:
     """Modes of each window by variable projection on its projected series. cold: windows are fitted
-    apart. warm: a video's windows are walked in order, each starting from the last one's frequencies;
+    apart. warm: a video's windows are walked in order, each starting from the last one's frequencies, and the first from those
+    of starts (last_frequencies of earlier windows), if it has any;
     robust: from both starts, the smaller residual wins. A window that cannot be fitted gives one row of
     status failed."""
 
+    started = starts is not None and init == "warm"
+
     def one(video: str, window: int, s: np.ndarray, v: np.ndarray, previous: np.ndarray | None) -> tuple[list[dict], np.ndarray | None]:
         if not len(s):
             return _failed(video, window), previous
@@ -225,12 +236,19 @@ def fit_modes(basis: DataFrame, dt: float, mode: str = "standard", init: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray | None] = (None, None)
-        for video, window, s, v in _bases(batches):
-            rows, alpha = one(video, window, s, v, last[1] if init == "warm" and video == last[0] else None)
-            last = (video, alpha)
-            yield pa.RecordBatch.from_pylist(rows, _schema(MODES))
-
-    source = basis.repartition("video_id").sortWithinPartitions(*WINDOW) if init == "warm" else basis
+        for batch in batches:
+            firsts = zip(batch.column("first_re").to_pylist(), batch.column("first_im").to_pylist(), strict=True) if started else itertools.repeat((None, None))
+            for (video, window, s, v), (re, im) in zip(_bases(iter([batch])), firsts):
+                if video != last[0]:
+                    last = (video, None if re is None else np.array(re) + 1j * np.array(im))
+                rows, alpha = one(video, window, s, v, last[1] if init == "warm" else None)
+                last = (video, alpha)
+                yield pa.RecordBatch.from_pylist(rows, _schema(MODES))
+
+    source = basis
+    if init == "warm":
+        source = basis if starts is None else basis.join(starts.select("video_id", "first_re", "first_im"), "video_id", "left")
+        source = source.repartition("video_id").sortWithinPartitions(*WINDOW)
     return source.mapInArrow(run, MODES)
 
 

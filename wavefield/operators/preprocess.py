@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavefield.functions.arrays import lists, matrix
+from wavefield.functions.shared import if_small, kept
 from wavefield.functions.signal import amplitudes, analytic
 
 WINDOW = ["video_id", "window_id"]
@@ -170,5 +171,12 @@ def band_filter(spectrum: DataFrame, limits: tuple[float, float] = (1 / 3, 1 / 1
 
 
 def frame_rank(frames: DataFrame) -> DataFrame:
-    """Frame numbers for feeds that only have an order (column at) within a video."""
-    return frames.withColumn("frame", F.row_number().over(Window.partitionBy("video_id").orderBy("at")) - 1)
+    """Frame numbers for feeds that only have an order (column at) within a video. Tasks take ranges of (video_id, at) and
+    number a video's frames within theirs; what lies in the ranges before is added."""
+    dealt = kept(frames.repartitionByRange("video_id", "at").withColumn("range_", F.spark_partition_id()))
+    sizes = dealt.groupBy(F.col("video_id").alias("video_"), F.col("range_").alias("part_")).agg(F.count("*").alias("n_"))
+    earlier = F.sum("n_").over(Window.partitionBy("video_").orderBy("part_")) - F.col("n_")
+    numbered = dealt.withColumn("frame", F.row_number().over(Window.partitionBy("video_id", "range_").orderBy("at")))
+    same = (F.col("range_") == F.col("part_")) & F.col("video_id").eqNullSafe(F.col("video_"))
+    moved = numbered.join(if_small(sizes.withColumn("before_", earlier)), same)
+    return moved.withColumn("frame", (F.col("frame") - 1 + F.col("before_")).cast("int")).drop("range_", "video_", "part_", "n_", "before_")

@@ -1,7 +1,7 @@
 """Depth maps of endless feeds: the composed job inside a stream.
 
 Windows are handed on by on_the_fly. Each goes through the batch job's steps, with what earlier windows have left in tables
-of a shared folder: representatives of their clouds, their times, and the Kalman states. Results are written by batch and step;
+of a shared folder: representatives of their clouds, their times, the Kalman states and, for a warm start, their frequencies. Results are written by batch and step;
 a batch that is tried again first removes all it wrote and starts from what the steps before it left, so nothing counts twice.
 """
 
@@ -17,7 +17,7 @@ from wavefield.operators import track
 from wavefield.plans import depth_map
 from wavefield.streaming.streams import on_the_fly
 
-TABLES = ("windows", "stored", "cell_fit", "speeds", "tracks", "states")
+TABLES = ("windows", "stored", "cell_fit", "speeds", "tracks", "states", "frequencies")
 
 
 class Results:
@@ -51,6 +51,13 @@ class Results:
         tables = [self.spark.read.parquet(f"{self.folder}/{name}/{a}/{b}") for a, b in (self.parts(name) if parts is None else parts)]
         return functools.reduce(DataFrame.unionByName, tables) if tables else None
 
+    def drop_older(self, name: str, before: list[tuple[int, int]], part: tuple[int, int]) -> None:
+        """Of a table whose every part is whole, one before this step is enough to start from; a batch that is tried again
+        needs the one before it."""
+        for x in before[:-1]:
+            if x[0] < part[0] - 1:
+                self.delete(name, *x)
+
     def earlier(self, name: str, part: tuple[int, int]) -> list[tuple[int, int]]:
         return [x for x in self.parts(name) if x < part]
 
@@ -64,9 +71,16 @@ def _tracked(results: Results, observed: DataFrame, part: tuple[int, int], q: fl
         observed = observed.withColumn("seq", F.col("seq").cast("long")).unionByName(known)
     results.write(track.kalman_history(observed, q).where("seq >= 0"), "tracks", part)
     results.write(track.kalman_track(observed, q), "states", part)
-    for x in before[:-1]:  # one before this step is enough to start from; a batch that is tried again needs the one before it
-        if x[0] < part[0] - 1:
-            results.delete("states", *x)
+    results.drop_older("states", before, part)
+
+
+def _frequencies(results: Results, found: DataFrame, part: tuple[int, int]) -> None:
+    """Writes each video's last frequencies: this step's, or else what the steps before left."""
+    before = results.earlier("frequencies", part)
+    if before:
+        found = found.unionByName(results.read("frequencies", before[-1:]).join(found.select("video_id"), "video_id", "left_anti"))
+    results.write(found, "frequencies", part)
+    results.drop_older("frequencies", before, part)
 
 
 def _forget(results: Results, part: tuple[int, int], o: depth_map.Options) -> None:
@@ -95,7 +109,10 @@ def stream_depth_maps(frames: DataFrame, meta: DataFrame, dt: float, folder: str
         part = (batch_id, at["step"])
         at["step"] += 1
         cut = window.withColumn("window_id", F.floor(F.col("start") / timed.hop)).drop("start")
-        clouds = depth_map.window_clouds(cut, meta, dt, timed)
+        starts = results.read("frequencies", results.earlier("frequencies", part)[-1:]) if o.start == "warm" else None
+        clouds = depth_map.window_clouds(cut, meta, dt, timed, starts)
+        if o.start == "warm":
+            _frequencies(results, clouds.frequencies, part)
         results.write(clouds.points.select("video_id", "window_id", "t").distinct(), "windows", part)
         results.write(clouds.stored, "stored", part)
         fits, speeds = depth_map.fit_windows(clouds, results.read("stored"), results.read("windows"), dt, timed)

@@ -60,3 +60,92 @@ def _aligned(a: list[list[str]], b: list[list[str]], m: np.ndarray, n: np.ndarra
         end = np.arange(left[i + 1] if i < most else 0, k)
         out[end] = cost[end, n[end] - i + BAND]
     return out
+
+
+#: Buckets of characters and of their shingles, whose size; pairs whose counts are compared together.
+BUCKETS, GRAM_BUCKETS, GRAM, COUNTED = 32, 1 << 12, 2, 1 << 14
+
+
+def codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all lines and the size of each."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), size
+
+
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """How many characters of each bucket a line has, a row per line."""
+    code, size = codes(lines)
+    cell = np.repeat(np.arange(len(lines)) * BUCKETS, size) + (code & (BUCKETS - 1))
+    return np.bincount(cell, minlength=len(lines) * BUCKETS).astype(np.int32).reshape(-1, BUCKETS)
+
+
+def letters_allow(x: np.ndarray, left: np.ndarray, y: np.ndarray, right: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether the counts x[left] and y[right] allow an edit distance of at most limit: an edit adds one
+    character at most, and takes one away."""
+    out = np.empty(len(left), bool)
+    for at in range(0, len(left), COUNTED):
+        part = slice(at, at + COUNTED)
+        more = x[left[part]] - y[right[part]]
+        apart, over = np.abs(more).sum(axis=1), more.sum(axis=1)
+        out[part] = np.maximum(apart + over, apart - over) <= 2 * limit[part]
+    return out
+
+
+def grams_allow(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
+    """Whether the shingles of GRAM characters allow an edit distance of at most limit: an edit takes away
+    GRAM of them at most, and adds as many."""
+    out = np.empty(len(a), bool)
+    step = COUNTED * BUCKETS // GRAM_BUCKETS
+    for at in range(0, len(a), step):
+        part = slice(at, at + step)
+        more = _gram_counts(a[part]) - _gram_counts(b[part])
+        apart, over = np.abs(more).sum(axis=1), more.sum(axis=1)
+        out[part] = np.maximum(apart + over, apart - over) <= 2 * GRAM * limit[part]
+    return out
+
+
+def _gram_counts(lines: list[str]) -> np.ndarray:
+    code, size = codes(lines)
+    owner, mixed, n = np.repeat(np.arange(len(lines)), size), code.astype(np.uint64), max(0, len(code) - GRAM + 1)
+    value = sum((mixed[i : i + n] * np.uint64(0x9E3779B97F4A7C15 ** (i + 1) % (1 << 64)) for i in range(GRAM)), np.zeros(n, np.uint64))
+    whole = owner[:n] == owner[len(owner) - n :]
+    cell = owner[:n] * GRAM_BUCKETS + (value >> np.uint64(52)).astype(np.int64)
+    return np.bincount(cell[whole], minlength=len(lines) * GRAM_BUCKETS).astype(np.int32).reshape(-1, GRAM_BUCKETS)
+
+
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Levenshtein distances of many pairs at once, of which a has 1 to 64 characters: bit-parallel columns, a
+    number of 64 bits per pair."""
+    out = np.empty(len(a), np.int64)
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    order = np.lexsort((-n, np.searchsorted((8, 16, 32), m)))  # like widths together, long b first
+    for at in range(0, len(order), PAIRS):
+        some = order[at : at + PAIRS]
+        some = some[np.argsort(-n[some], kind="stable")]
+        out[some] = _columns([a[i] for i in some], [b[i] for i in some], m[some], n[some])
+    return out
+
+
+def _padded(lines: list[str], width: int) -> np.ndarray:
+    code, size = codes(lines)
+    out = np.full((len(lines), width), 0xFFFFFFFF, np.uint32)
+    out[np.repeat(np.arange(len(lines)), size), np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)] = code
+    return out
+
+
+def _columns(a: list[str], b: list[str], m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The distances; b falls in length."""
+    width = next(w for w in (8, 16, 32, 64) if w >= m.max())
+    letters, others = _padded(a, width), np.ascontiguousarray(_padded(b, int(n[0])).T)
+    top, score, one = np.uint64(1) << (m - 1).astype(np.uint64), m.copy(), np.uint64(1)
+    up, down = np.full(len(m), ~np.uint64(0)), np.zeros(len(m), np.uint64)
+    left = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right")  # lines of more than j characters
+    for j, k in enumerate(left):
+        same = np.packbits(letters[:k] == others[j, :k, None], axis=1, bitorder="little").view(f"<u{width // 8}").ravel().astype(np.uint64)
+        u, d = up[:k], down[:k]
+        diagonal = (((same & u) + u) ^ u) | same
+        right_up, right_down = d | ~(diagonal | u), u & diagonal
+        score[:k] += ((right_up & top[:k]) != 0).astype(np.int64) - ((right_down & top[:k]) != 0)
+        right_up, right_down, same = (right_up << one) | one, right_down << one, same | d
+        up[:k], down[:k] = right_down | ~(same | right_up), right_up & same
+    return score

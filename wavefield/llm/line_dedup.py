@@ -33,7 +33,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +52,8 @@ HAMMING_WORDS = 16
 DROP_WORDS, SHINGLE, HASHES = 8, 4, 4
 MAX_WEIGHT = 14
 SMALL, BLOCK = 16, 512
+#: Pairs of classes of a hot key that are looked at together.
+CELL = 1 << 17
 #: Bytes of texts that a task scans together.
 BYTES = 2 << 20
 #: First bit and width of the SimHash's blocks.
@@ -182,8 +183,11 @@ class _Scan:
         """Characters of the normal forms."""
         if not len(self.n):
             return self.n
-        letters = np.concatenate([[0], np.cumsum((self.buf & 0xC0) != 0x80)])
-        return np.add.reduceat(letters[self.ends] - letters[self.starts], self.first) + self.n - 1
+        # bytes that do not begin a character; words hold all of them
+        later = np.flatnonzero((self.buf & 0xC0) == 0x80)
+        last = np.append(self.first[1:], len(self.ends)) - 1
+        more = np.searchsorted(later, self.ends[last]) - np.searchsorted(later, self.starts[self.first])
+        return np.add.reduceat(self.ends - self.starts, self.first) - more + self.n - 1
 
     def keys(self) -> pa.ListArray:
         if not len(self.n):
@@ -263,24 +267,37 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return score
 
 
+def _limits(sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """Edits that the similarity allows."""
+    return ((1 - MIN_SIMILARITY) * np.maximum(sizes_a, sizes_b) + 1e-9).astype(np.int64)
+
+
 def similar(a: str, b: str) -> bool:
-    """Whether the edit similarity reaches MIN_SIMILARITY; characters that one has and the other lacks
-    settle some pairs."""
+    """Whether the edit similarity reaches MIN_SIMILARITY."""
     limit = int((1 - MIN_SIMILARITY) * max(len(a), len(b)) + 1e-9)
-    if abs(len(a) - len(b)) > limit:
-        return False
-    here, there = Counter(a), Counter(b)
-    if max((here - there).total(), (there - here).total()) > limit:
-        return False
-    return edit_distance(a, b, limit) <= limit
+    return abs(len(a) - len(b)) <= limit and edit_distance(a, b, limit) <= limit
 
 
 def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
-    """similar for each pair; edits of whole words settle most that are, all at once."""
-    longest = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
-    out = edits.word_bounds([x.split(" ") for x in a], [y.split(" ") for y in b]) <= (1 - MIN_SIMILARITY) * longest + 1e-9
-    for i in np.flatnonzero(~out):
-        out[i] = similar(a[i], b[i])
+    """similar for each pair. Characters that one has and the other lacks settle most pairs that are not; of the rest
+    the shorter ones are compared all at once; shingles of characters and edits of whole words settle most of the longer ones."""
+    out = np.zeros(len(a), bool)
+    if not len(a):
+        return out
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    limit, every = _limits(m, n), np.arange(len(a))
+    able = edits.letters_allow(edits.letter_counts(a), every, edits.letter_counts(b), every, limit)
+    least = np.minimum(m, n)
+    some = np.flatnonzero(able & (least > 0) & (least <= 64))
+    if len(some):
+        both = [(a[i], b[i]) if m[i] <= n[i] else (b[i], a[i]) for i in some]
+        out[some] = edits.distances([x for x, _ in both], [y for _, y in both]) <= limit[some]
+    some = np.flatnonzero(able & ((least == 0) | (least > 64)))
+    some = some[edits.grams_allow([a[i] for i in some], [b[i] for i in some], limit[some])]
+    if len(some):
+        out[some] = edits.word_bounds([a[i].split(" ") for i in some], [b[i].split(" ") for i in some]) <= limit[some]
+        for i in some[~out[some]]:
+            out[i] = similar(a[i], b[i])
     return out
 
 
@@ -293,26 +310,31 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cell(key: tuple, group: pa.Table) -> pa.Table:
     """A spanning forest of the links within one pair of blocks of a hot key, between classes that are not
     connected yet. The key's smallest class has met all others before."""
-    rows = {c: i for i, c in enumerate(group["no"].to_pylist())}  # a class once
-    at = [rows[c] for c in sorted(rows) if c != group["anchor"][rows[c]].as_py()]
+    _, at = np.unique(group["no"].to_numpy(), return_index=True)  # a class once
+    at = at[(group["no"].to_numpy() != group["anchor"].to_numpy())[at]]
     no, comp, bits, n, block = (group[c].to_numpy()[at] for c in ("no", "comp", "simhash", "n_words", "block"))
-    bits, forms = bits.view(np.uint64), [group["form"][i].as_py() for i in at]
-    size = np.array([len(x) for x in forms], np.int64)
+    bits, forms, hot = bits.view(np.uint64), group["form"].take(at).to_pylist(), group["hot"].take(at).to_pylist()
+    size, letters = np.array([len(x) for x in forms], np.int64), edits.letter_counts(forms)
     _, root = np.unique(comp, return_inverse=True)
     left, right, differ = [], [], []
-    for i in range(len(at)):
-        bits_apart = np.bitwise_count(bits[:i] ^ bits[i])
-        limit = ((1 - MIN_SIMILARITY) * np.maximum(size[:i], size[i]) + 1e-9).astype(np.int64)
-        able = (root[:i] != root[i]) & (np.abs(size[:i] - size[i]) <= limit) & ((bits_apart <= MAX_BITS) | (np.minimum(n[:i], n[i]) < HAMMING_WORDS))
+    step = max(1, CELL // max(1, len(at)))
+    for top in range(1, len(at), step):
+        i = np.arange(top, min(top + step, len(at)))[:, None]
+        able = (np.arange(i[-1, 0]) < i) & (root[: i[-1, 0]] != root[i]) & (np.abs(size[: i[-1, 0]] - size[i]) <= _limits(size[: i[-1, 0]], size[i]))
         if key[1] != key[2]:
-            able &= block[:i] != block[i]
-        able = np.flatnonzero(able)
-        left.append(able)
-        right.append(np.full(len(able), i))
-        differ.append(bits_apart[able])
+            able &= block[: i[-1, 0]] != block[i]
+        y, x = np.nonzero(able)
+        y += top
+        apart = np.bitwise_count(bits[x] ^ bits[y])
+        near = np.flatnonzero((apart <= MAX_BITS) | (np.minimum(n[x], n[y]) < HAMMING_WORDS))
+        x, y, apart = x[near], y[near], apart[near]
+        near = edits.letters_allow(letters, x, letters, y, _limits(size[x], size[y]))
+        left.append(x[near])
+        right.append(y[near])
+        differ.append(apart[near])
     left, right, differ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, differ))
     # a pair belongs to the first hot key that both have
-    hot = [np.array(group["hot"][i].as_py(), np.int64) for i in at]
+    hot = [np.array(x, np.int64) for x in hot]
     keys = np.full((len(at), max(map(len, hot), default=0)), np.iinfo(np.int64).min)
     for i, x in enumerate(hot):
         x = x[x < key[0].as_py()]
@@ -347,9 +369,10 @@ def _keys(n_words: Column, simhash: Column, parts: Column | None) -> Column:
 
 
 def _near(x: str = "_x", y: str = "_y") -> Column:
-    """Whether two classes are a candidate: lengths, and SimHashes of lines of enough words."""
+    """Whether two classes are a candidate: lengths, which must allow an edit, as classes differ, and SimHashes of
+    lines of enough words."""
     a, b = F.col(f"size{x}"), F.col(f"size{y}")
-    lengths = F.least(a, b) >= MIN_SIMILARITY * F.greatest(a, b) - 1e-6
+    lengths = (F.least(a, b) >= MIN_SIMILARITY * F.greatest(a, b) - 1e-6) & ((1 - MIN_SIMILARITY) * F.greatest(a, b) >= 1 - 1e-6)
     bits = F.bit_count(F.col(f"simhash{x}").bitwiseXOR(F.col(f"simhash{y}"))) <= MAX_BITS
     return lengths & (bits | (F.least(f"n_words{x}", f"n_words{y}") < HAMMING_WORDS))
 
@@ -390,10 +413,12 @@ def _verified(pairs: DataFrame, forms: DataFrame) -> DataFrame:
 def _class_roots(docs: DataFrame, classes: DataFrame, small: int, block: int, word_parts: bool) -> DataFrame:
     """no and root of the classes that are connected to another one."""
     facts = ["simhash", "n_words", "size"]
-    entries = classes.select("no", F.explode(_keys(F.col("n_words"), F.col("simhash"), F.col("parts") if word_parts else None)).alias("key"))
+    # a class so short that no other is within the similarity has no keys
+    able = classes.where(F.col("size") + 1 >= 1 / (1 - MIN_SIMILARITY) - 1e-6)
+    entries = able.select("no", F.explode(_keys(F.col("n_words"), F.col("simhash"), F.col("parts") if word_parts else None)).alias("key"))
     # most keys have one class and go in a single pass; ranges of (key, no) part even a key of very many classes
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = stored(entries.repartitionByRange(parts, "key", "no").sortWithinPartitions("key", "no").mapInArrow(_repeated, "no long, key long"), "met")
+    met = stored(entries.repartitionByRange(parts, "key", "no").sortWithinPartitions("key").mapInArrow(_repeated, "no long, key long"), "met")
     shared = met.groupBy("key").agg(F.count("*").alias("df"), F.min("no").alias("anchor")).where("df > 1")
     lists = stored(met.join(shared, "key").join(classes.select("no", *facts), "no"), "keys")
     discard(met)

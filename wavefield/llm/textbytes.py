@@ -47,22 +47,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a word that are hashed place by place, and the odd numbers that bytes are multiplied with.
+PLACES = 16
+_POWERS = mixed(np.arange(4096, dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
+
+
 def words(buf: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the runs of bytes that are not space."""
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
-    starts, ends = edge[::2], edge[1::2]
+    edge = np.flatnonzero(np.concatenate([[not space[:1].all()], space[1:] != space[:-1], [not space[-1:].all()]]))
+    starts, ends = np.ascontiguousarray(edge[::2]), np.ascontiguousarray(edge[1::2])
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
-    # sum of byte * odd power of its place in the word, over the word
-    gaps = np.diff(np.append(starts, len(buf)))
-    within = np.arange(len(buf), dtype=np.int64)
-    within[starts[0] :] -= np.repeat(starts, gaps)
-    powers = mixed(np.arange(4096, dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
-    far = within >= 4096
-    value = powers[np.where(far, 0, within)]
-    if far.any():
-        value[far] = mixed(within[far].astype(np.uint64)) | np.uint64(1)
-    value *= buf.astype(np.uint64) + np.uint64(1)
-    value[space] = 0
-    sums = np.add.reduceat(value, starts)
-    return starts, ends, mixed(sums + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # sum of byte * odd power of its place in the word, over the word: place by place, the tails of longer words at once
+    sizes = ends - starts
+    order = np.argsort(np.minimum(sizes, PLACES + 1).astype(np.uint8), kind="stable")
+    shorter = np.cumsum(np.bincount(np.minimum(sizes, PLACES + 1), minlength=PLACES + 2))  # words of at most j bytes
+    first, value = starts[order], np.zeros(len(starts), np.uint64)
+    for j in range(PLACES):
+        k = shorter[j]
+        value[k:] += _POWERS[j] * (buf[first[k:] + j].astype(np.uint64) + np.uint64(1))
+    long = order[shorter[PLACES] :]
+    if len(long):
+        tail = sizes[long] - PLACES
+        begin = np.cumsum(tail) - tail
+        place = PLACES + np.arange(tail.sum()) - np.repeat(begin, tail)
+        power = _POWERS.take(place, mode="clip")
+        far = place >= len(_POWERS)
+        if far.any():
+            power[far] = mixed(place[far].astype(np.uint64)) | np.uint64(1)
+        power *= buf[np.repeat(starts[long], tail) + place].astype(np.uint64) + np.uint64(1)
+        value[shorter[PLACES] :] += np.add.reduceat(power, begin)
+    sums = np.empty(len(starts), np.uint64)
+    sums[order] = value
+    return starts, ends, mixed(sums + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

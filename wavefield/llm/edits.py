@@ -149,3 +149,120 @@ def _columns(a: list[str], b: list[str], m: np.ndarray, n: np.ndarray) -> np.nda
         right_up, right_down, same = (right_up << one) | one, right_down << one, same | d
         up[:k], down[:k] = right_down | ~(same | right_up), right_up & same
     return score
+
+
+#: Numbers of 64 bits that hold the places of characters in the lines compared together; characters by pair.
+PLACES, KINDS = 1 << 20, 1 << 22
+
+
+def within(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
+    """Whether the Levenshtein distance of each pair is at most limit: bit-parallel columns of many pairs at once, in
+    blocks of 64 rows, of which only those are computed that a path of so few edits can cross."""
+    out = np.zeros(len(a), bool)
+    a, b = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)], strict=True) if len(a) else ((), ())
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out[m == 0] = (n <= limit)[m == 0]
+    order = np.flatnonzero((m > 0) & (n - m <= limit))
+    order, at = order[np.lexsort((-m[order], -n[order]))], 0  # long b first
+    while at < len(order):
+        some = order[at : at + PAIRS]
+        some = some[3 * n[some] >= 2 * n[some[0]]]  # like lengths together
+        x, y = (codes([lines[i] for i in some])[0] for lines in (a, b))
+        known = np.zeros(int(max(x.max(), y.max())) + 1, bool)
+        known[x] = True
+        known[y] = True
+        number = np.cumsum(known) - 1
+        some = some[: max(1, KINDS // int(number[-1] + 1))]
+        at += len(some)
+        x, y, kinds = _own_numbers(number[x[: m[some].sum()]], number[y[: n[some].sum()]], int(number[-1] + 1), m[some], n[some])
+        step, from_x, from_y = max(1, PLACES // (kinds * (int(m[some].max() + 63) // 64))), 0, 0
+        for first in range(0, len(some), step):
+            part = some[first : first + step]
+            to_x, to_y = from_x + m[part].sum(), from_y + n[part].sum()
+            out[part] = _blocks(x[from_x:to_x], y[from_y:to_y], kinds, m[part], n[part], limit[part])
+            from_x, from_y = to_x, to_y
+    return out
+
+
+def _own_numbers(x: np.ndarray, y: np.ndarray, kinds: int, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers of characters that only tell those of one pair's a apart, so that there are few, and one for all
+    others."""
+    x, y = x + np.repeat(np.arange(len(m)) * kinds, m), y + np.repeat(np.arange(len(n)) * kinds, n)
+    there = np.zeros(len(m) * kinds, bool)
+    there[x] = True
+    place = np.cumsum(there.reshape(-1, kinds), axis=1, dtype=np.int32)
+    most = int(place[:, -1].max())
+    place = place.ravel() - 1
+    return place[x].astype(np.int64), np.where(there[y], place[y], most).astype(np.int64), most + 1
+
+
+def _blocks(x: np.ndarray, y: np.ndarray, kinds: int, m: np.ndarray, n: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The verdicts; x, y: numbers of the characters of all a and all b, of which b falls in length. Values on the
+    border of the blocks are such that no distance comes out too small."""
+    pairs, wide, one = len(m), int(m.max() + 63) // 64, np.uint64(1)
+    mine, theirs = (np.repeat(np.arange(pairs), size) for size in (m, n))
+    row, column = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) for size in (m, n))
+    # which rows of a block hold a character, by block, pair and character; each row adds a bit of its own
+    rows = np.zeros(wide * pairs * kinds, np.uint64)
+    np.add.at(rows, ((row >> 6) * pairs + mine) * kinds + x, one << (row & 63).astype(np.uint64))
+    rows = rows.reshape(wide, pairs * kinds)
+    symbol = np.zeros((int(n[0]), pairs), np.int64)
+    symbol[column, theirs] = y + theirs * kinds
+    # a path of limit edits stays that far over and under the diagonal
+    over, under = int(((limit + n - m) // 2).max()), int(((limit - n + m) // 2).max())
+    up, down = np.full((wide, pairs), ~np.uint64(0)), np.zeros((wide, pairs), np.uint64)
+    last, high, longest = min(wide - 1, under >> 6), np.uint64(63), int(n[0])
+    score, out, pair = np.full(pairs, 64 * (last + 1)), np.zeros(pairs, bool), np.arange(pairs)
+    left = _left(n, longest)
+    for j in range(longest):
+        k = int(left[j])
+        if not k:
+            break
+        if last < wide - 1 and j + under >> 6 > last:
+            last += 1
+            score += 64
+        top = min(last, max(0, j - over) >> 6)
+        more, less = np.ones(k, np.uint64), np.zeros(k, np.uint64)
+        for block in range(top, last + 1):
+            u, d, same = up[block, :k], down[block, :k], rows[block].take(symbol[j, :k])
+            vertical = same | d
+            same |= less
+            diagonal = (((same & u) + u) ^ u) | same
+            right_up, right_down = d | ~(diagonal | u), u & diagonal
+            next_more, next_less = right_up >> high, right_down >> high
+            right_up, right_down = (right_up << one) | more, (right_down << one) | less
+            up[block, :k], down[block, :k] = right_down | ~(vertical | right_up), right_up & vertical
+            more, less = next_more, next_less
+        score[:k] += more.view(np.int64) - less.view(np.int64)
+        end = np.arange(left[j + 1], k)
+        if len(end):  # back from the last block's end to the row of the last character
+            value = score[end]
+            for block in range(int(m[end].min() - 1) >> 6, last + 1):
+                beyond = np.clip(m[end] - 64 * block, 0, 64).astype(np.uint64)
+                mask = np.where(beyond == 64, np.uint64(0), ~np.uint64(0) << np.minimum(beyond, high))
+                value -= np.bitwise_count(up[block, end] & mask).astype(np.int64) - np.bitwise_count(down[block, end] & mask)
+            out[pair[end]] = value <= limit[end]
+        if j % 64 == 63 and left[j + 1]:
+            k = int(left[j + 1])
+            able = np.flatnonzero(_least(up[top : last + 1, :k], down[top : last + 1, :k], score[:k], 64 * last + n[:k] - m[:k] - j) <= limit[:k])
+            if 4 * len(able) <= 3 * k:  # pairs that cannot be similar any more go
+                up, down, symbol, score, pair = up[:, able], down[:, able], symbol[:, able], score[able], pair[able]
+                m, n, limit = m[able], n[able], limit[able]
+                left = _left(n, longest)
+    return out
+
+
+def _left(n: np.ndarray, longest: int) -> np.ndarray:
+    """How many lines have more than j characters, of lines that fall in length."""
+    return np.append(np.searchsorted(-n, -np.arange(1, longest + 1), side="right"), 0)
+
+
+def _least(up: np.ndarray, down: np.ndarray, score: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """The least distance a path through a column can come to. score: the value at the end of the last block; ahead: how far
+    its first row lies beyond the diagonal to the end; neighbouring rows differ by one at most."""
+    out = np.full(len(score), _FAR)
+    for block in range(len(up) - 1, -1, -1):
+        above = score - np.bitwise_count(up[block]).astype(np.int64) + np.bitwise_count(down[block])
+        out = np.minimum(out, (above + score - 63) // 2 + np.maximum(0, np.maximum(ahead, -ahead - 64)))
+        score, ahead = above, ahead - 64
+    return out

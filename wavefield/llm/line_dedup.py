@@ -54,12 +54,21 @@ MAX_WEIGHT = 14
 SMALL, BLOCK = 16, 512
 #: Pairs of classes of a hot key that are looked at together.
 CELL = 1 << 17
+#: Pairs and lines of cells that are verified together, one cell at least.
+POOL = 1 << 14
+#: Characters from which on lines are too few to be compared at once.
+VERY_LONG = 1_280
 #: Bytes of texts that a task scans together.
 BYTES = 2 << 20
 #: First bit and width of the SimHash's blocks.
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
 LINES = "doc_id long, text_id long, line_no int, line_id long, simhash long, n_words int, size int, parts array<long>"
 
+#: Keys that a class has, about, and that a bucket of keys holds.
+KEYS, BUCKET = 14, 1 << 19
+DEALT = "bucket int, sure boolean, no array<long>, key array<long>"
+DEALT_NAMES = [x.split()[0] for x in DEALT.split(", ")]
+
 #: Normal form by byte: letters lowered, digits 0, other ASCII (line feeds too) a blank.
 _NORMAL = np.full(256, 0x20, np.uint8)
 _NORMAL[48:58] = 48
@@ -280,7 +289,7 @@ def similar(a: str, b: str) -> bool:
 
 def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
     """similar for each pair. Characters that one has and the other lacks settle most pairs that are not; of the rest
-    the shorter ones are compared all at once; shingles of characters and edits of whole words settle most of the longer ones."""
+    many are compared at once; shingles of characters and edits of whole words settle most of the very long ones."""
     out = np.zeros(len(a), bool)
     if not len(a):
         return out
@@ -292,12 +301,14 @@ def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
     if len(some):
         both = [(a[i], b[i]) if m[i] <= n[i] else (b[i], a[i]) for i in some]
         out[some] = edits.distances([x for x, _ in both], [y for _, y in both]) <= limit[some]
-    some = np.flatnonzero(able & ((least == 0) | (least > 64)))
+    some = np.flatnonzero(able & (least > VERY_LONG))
     some = some[edits.grams_allow([a[i] for i in some], [b[i] for i in some], limit[some])]
     if len(some):
         out[some] = edits.word_bounds([a[i].split(" ") for i in some], [b[i].split(" ") for i in some]) <= limit[some]
         for i in some[~out[some]]:
             out[i] = similar(a[i], b[i])
+    some = np.flatnonzero(able & ((least == 0) | (least > 64)) & (least <= VERY_LONG))
+    out[some] = edits.within([a[i] for i in some], [b[i] for i in some], limit[some])
     return out
 
 
@@ -307,9 +318,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
 
 
-def _cell(key: tuple, group: pa.Table) -> pa.Table:
-    """A spanning forest of the links within one pair of blocks of a hot key, between classes that are not
-    connected yet. The key's smallest class has met all others before."""
+class _Cell:
+    """The candidates within one pair of blocks of a hot key, between classes that are not connected yet, the
+    likeliest first. The key's smallest class has met all others before."""
+
+    def __init__(self, group: pa.Table) -> None:
+        self.no, self.root, self.forms, self.left, self.right = _candidates(group)
+
+    def take(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b, self.left, self.right = self.left[:most], self.right[:most], self.left[most:], self.right[most:]
+        return a, b
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """The links that connect something, of pairs that are similar; pairs that they spare go."""
+        found, root = [], self.root
+        for i, j in zip(a, b, strict=True):
+            if root[i] != root[j]:
+                found.append((self.no[i], self.no[j]))
+                root[root == root[j]] = root[i]
+        if found:
+            apart = root[self.left] != root[self.right]
+            self.left, self.right = self.left[apart], self.right[apart]
+        return found
+
+
+def _candidates(group: pa.Table) -> tuple:
+    """Class numbers, groups and normal forms of a cell's rows, and the rows of its pairs by differing bits."""
+    key, a, b = (group[c][0].as_py() for c in ("key", "a", "b"))
     _, at = np.unique(group["no"].to_numpy(), return_index=True)  # a class once
     at = at[(group["no"].to_numpy() != group["anchor"].to_numpy())[at]]
     no, comp, bits, n, block = (group[c].to_numpy()[at] for c in ("no", "comp", "simhash", "n_words", "block"))
@@ -321,7 +356,7 @@ def _cell(key: tuple, group: pa.Table) -> pa.Table:
     for top in range(1, len(at), step):
         i = np.arange(top, min(top + step, len(at)))[:, None]
         able = (np.arange(i[-1, 0]) < i) & (root[: i[-1, 0]] != root[i]) & (np.abs(size[: i[-1, 0]] - size[i]) <= _limits(size[: i[-1, 0]], size[i]))
-        if key[1] != key[2]:
+        if a != b:
             able &= block[: i[-1, 0]] != block[i]
         y, x = np.nonzero(able)
         y += top
@@ -337,7 +372,7 @@ def _cell(key: tuple, group: pa.Table) -> pa.Table:
     hot = [np.array(x, np.int64) for x in hot]
     keys = np.full((len(at), max(map(len, hot), default=0)), np.iinfo(np.int64).min)
     for i, x in enumerate(hot):
-        x = x[x < key[0].as_py()]
+        x = x[x < key]
         keys[i, : len(x)] = x
     mine = np.ones(len(left), bool)
     at_once = max(1, min(4_096, (1 << 22) // max(1, keys.shape[1]) ** 2))
@@ -345,27 +380,115 @@ def _cell(key: tuple, group: pa.Table) -> pa.Table:
         x, y = keys[left[c : c + at_once]], keys[right[c : c + at_once]]
         mine[c : c + at_once] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != np.iinfo(np.int64).min)).any(axis=(1, 2))
     left, right, differ = left[mine], right[mine], differ[mine]
-    # the likeliest first, so that links spare the others of their group
-    order, found, at_once = np.argsort(differ, kind="stable"), [], 64
-    left, right = left[order], right[order]
-    while len(left):
-        a, b, left, right = left[:at_once], right[:at_once], left[at_once:], right[at_once:]
-        alike = similar_pairs([forms[i] for i in a], [forms[i] for i in b])
-        for i, j in zip(a[alike], b[alike], strict=True):
-            if root[i] != root[j]:
-                found.append((no[i], no[j]))
-                root[root == root[j]] = root[i]
-        apart = root[left] != root[right]
-        left, right, at_once = left[apart], right[apart], min(2 * at_once, edits.PAIRS)
-    return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["x", "y"])
-
+    order = np.argsort(differ, kind="stable")
+    return no, root, forms, left[order], right[order]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links of each cell; rows are sorted by cell. The pairs of several cells are verified
+    together, of each those first that may spare others."""
+    pool, waiting = [], 0
+    for group in _groups(batches, ["key", "a", "b"]):
+        cell = _Cell(group)
+        if len(cell.left):
+            pool.append(cell)
+            waiting += len(cell.left) + len(cell.no)
+        if waiting >= POOL:
+            yield _forest(pool)
+            pool, waiting = [], 0
+    yield _forest(pool)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows in groups of equal values."""
+    rest: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy() for c in names])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for begin, end in itertools.pairwise(cuts):
+            if rest and tuple(values[:, begin]) != last:
+                yield pa.concat_tables(rest)
+                rest = []
+            rest.append(pa.Table.from_batches([batch.slice(begin, end - begin)]))
+            last = tuple(values[:, begin])
+    if rest:
+        yield pa.concat_tables(rest)
+
+
+def _forest(pool: list[_Cell]) -> pa.RecordBatch:
+    found, at_once = [], 64
+    while pool:
+        taken = [cell.take(at_once) for cell in pool]
+        sides = [[cell.forms[i] for cell, pair in zip(pool, taken, strict=True) for i in pair[k]] for k in (0, 1)]
+        alike = np.split(similar_pairs(*sides), np.cumsum([len(a) for a, _ in taken])[:-1])
+        for cell, (a, b), same in zip(pool, taken, alike, strict=True):
+            found += cell.link(a[same], b[same])
+        pool, at_once = [cell for cell in pool if len(cell.left)], min(2 * at_once, edits.PAIRS)
+    return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+
+def _entries(batch: pa.RecordBatch, word_parts: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Class numbers and keys of a batch of classes, sorted by key; a class has each of its keys once."""
+    no, bits = batch.column("no").to_numpy(), batch.column("simhash").to_numpy().view(np.uint64)
+    many = batch.column("n_words").to_numpy() >= MIN_WORDS
+    part = [(bits[many] >> np.uint64(first)) & np.uint64((1 << width) - 1) for first, width in BLOCKS]
+    pairs = itertools.combinations(range(len(BLOCKS)), 2)
+    keys = [mixed(np.uint64(i << 40) + (part[a] << np.uint64(BLOCKS[b][1])) + part[b]).view(np.int64) for i, (a, b) in enumerate(pairs)]
+    owners = [no[many]] * len(keys)
+    if word_parts:
+        lists = batch.column("parts")
+        keys.append(lists.flatten().to_numpy())
+        owners.append(np.repeat(no, pc.list_value_length(lists).to_numpy()))
+    no, key = np.concatenate(owners), np.concatenate(keys)
+    order = np.argsort(key)
+    no, key = no[order], key[order]
+    same = key[1:] == key[:-1]
+    again = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    again = again[np.lexsort((no[again], key[again]))]
+    twice = np.flatnonzero((key[again[1:]] == key[again[:-1]]) & (no[again[1:]] == no[again[:-1]])) + 1
+    once = np.ones(len(key), bool)
+    once[again[twice]] = False
+    return no[once], key[once]
+
+
+def _dealt(word_parts: bool, buckets: int):
+    """Entries of classes in arrays, one row per bucket of keys. Those whose key several classes of the batch have
+    are sure to be wanted, and only one stand-in a key (class -1) goes to the bucket: a hot key fills none."""
+    bounds = [(i << 64) // buckets - (1 << 63) for i in range(1, buckets)]
 
-def _keys(n_words: Column, simhash: Column, parts: Column | None) -> Column:
-    part = lambda k: F.shiftrightunsigned(simhash, BLOCKS[k][0]).bitwiseAND((1 << BLOCKS[k][1]) - 1)
-    pairs = enumerate(itertools.combinations(range(len(BLOCKS)), 2))
-    bits = F.array(*[F.lit(i << 40).cast("long") + part(a) * (1 << BLOCKS[b][1]) + part(b) for i, (a, b) in pairs])
-    bits = F.when(n_words >= MIN_WORDS, bits).otherwise(F.array().cast("array<long>"))
-    return bits if parts is None else F.concat(bits, F.array_distinct(parts))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            no, key = _entries(batch, word_parts)
+            same = key[1:] == key[:-1]
+            sure, later = np.append(same, False) | np.append(False, same), np.append(False, same)
+            rows = [(number % buckets, True, no[sure], key[sure])]
+            no, key = np.where(sure, -1, no)[~later], key[~later]
+            cuts = [0, *np.searchsorted(key, np.array(bounds, np.int64)), len(key)]
+            rows += [(i, False, no[x:y], key[x:y]) for i, (x, y) in enumerate(itertools.pairwise(cuts))]
+            rows = [x for x in rows if len(x[2])]
+            ends = pa.array(np.cumsum([0, *[len(x[2]) for x in rows]]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in rows]) if rows else np.zeros(0, np.int64))) for k in (2, 3)]
+            yield pa.record_batch([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.bool_()), *lists], DEALT_NAMES)
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries whose key another class has, from the rows of whole buckets; a few others may be among them."""
+    nos, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        sure = batch.column("sure")
+        yield pa.record_batch([batch.filter(sure).column(c).flatten() for c in ("no", "key")], ["no", "key"])
+        open_ = batch.filter(pc.invert(sure))
+        nos.append(open_.column("no").flatten().to_numpy())
+        keys.append(open_.column("key").flatten().to_numpy())
+    no, key = np.concatenate(nos), np.concatenate(keys)
+    order = np.argsort(key)
+    for batch in _repeated(iter([pa.record_batch([pa.array(no[order]), pa.array(key[order])], ["no", "key"])])):
+        yield batch.filter(pc.greater_equal(batch.column("no"), 0))
 
 
 def _near(x: str = "_x", y: str = "_y") -> Column:
@@ -415,10 +538,11 @@ def _class_roots(docs: DataFrame, classes: DataFrame, small: int, block: int, wo
     facts = ["simhash", "n_words", "size"]
     # a class so short that no other is within the similarity has no keys
     able = classes.where(F.col("size") + 1 >= 1 / (1 - MIN_SIMILARITY) - 1e-6)
-    entries = able.select("no", F.explode(_keys(F.col("n_words"), F.col("simhash"), F.col("parts") if word_parts else None)).alias("key"))
-    # most keys have one class and go in a single pass; ranges of (key, no) part even a key of very many classes
+    # most keys have one class: buckets of keys find those that have more
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = stored(entries.repartitionByRange(parts, "key", "no").sortWithinPartitions("key").mapInArrow(_repeated, "no long, key long"), "met")
+    buckets = max(parts, able.count() * KEYS // BUCKET)
+    dealt = able.select("no", "simhash", "n_words", "parts").mapInArrow(_dealt(word_parts, buckets), DEALT).repartition(buckets, "bucket")
+    met = stored(dealt.mapInArrow(_met, "no long, key long"), "met")
     shared = met.groupBy("key").agg(F.count("*").alias("df"), F.min("no").alias("anchor")).where("df > 1")
     lists = stored(met.join(shared, "key").join(classes.select("no", *facts), "no"), "keys")
     discard(met)
@@ -446,7 +570,7 @@ def _class_roots(docs: DataFrame, classes: DataFrame, small: int, block: int, wo
     hot = hot.join(hot.groupBy("no").agg(F.collect_set("key").alias("hot")), "no").withColumn("blocks", F.ceil(F.col("df") / block).cast("int"))
     hot = hot.withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = hot.select("key", "no", "anchor", "hot", "comp", *facts, "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(forms, "no")
-    in_cells = cells.groupBy("key", "a", "b").applyInArrow(_cell, "x long, y long")
+    in_cells = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_cells, "x long, y long")
     links = stored(_verified(pairs, forms).unionByName(in_cells), "links")
     discard(pairs, still, written)
 

@@ -18,8 +18,8 @@ occurrence is kept, the first by doc_id, line number and text.
 Every key's classes are first compared with the key's smallest class only, which costs as many pairs
 as there are entries and connects groups of copies. Only keys whose classes are not all connected then are
 looked at in full: one of at most SMALL classes gives its pairs, one of more is cut into blocks of
-about BLOCK classes, and each pair of blocks is one task's group, which compares SimHashes all at once,
-verifies what is not yet connected and gives a spanning forest. All candidates of a key that could join
+about BLOCK classes, and each pair of blocks is a cell, which compares SimHashes all at once and gives a
+spanning forest; a task verifies what is not yet connected for several cells together. All candidates of a key that could join
 two groups are verified.
 
 Defined results: lines without a word in their normal form are no lines here and always stay; a null
